@@ -13,16 +13,16 @@ from siteloom.llm.common import stored
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without letters, or without any likeness to a language learned (no positive cosine), go."""
-    found = language_id.identify(docs, language_id.fit(docs))
-    sure = (F.col("language.lang_pred") != language_id.UNKNOWN) & (F.col("language.score") > 0)
-    return found.filter(sure).drop("language")
+    found = language_id.identify(docs, language_id.fit(docs), out="__language")
+    sure = (F.col("__language.lang_pred") != language_id.UNKNOWN) & (F.col("__language.score") > 0)
+    return found.filter(sure).drop("__language")
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Shared lines go; n_chars follows the text."""
-    changed = line_dedup.without_shared_lines(docs).withColumn("lost", F.col("lines.n_dropped") > 0)
-    text = F.when(F.col("lost"), F.col("lines.kept")).otherwise(F.col("text"))
-    chars = F.when(F.col("lost"), F.length("lines.kept")).otherwise(F.col("n_chars")).cast("long")
+    changed = line_dedup.without_shared_lines(docs, out="__lines").withColumn("__lost", F.col("__lines.n_dropped") > 0)
+    text = F.when(F.col("__lost"), F.col("__lines.kept")).otherwise(F.col("text"))
+    chars = F.when(F.col("__lost"), F.length("__lines.kept")).otherwise(F.col("n_chars")).cast("long")
     return changed.withColumns({"text": text, "n_chars": chars}).select(docs.columns)
 
 

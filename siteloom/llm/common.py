@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Java's smallest long stands for a null id inside the operators, so that null ids join and sort like any other.
 NULL_ID = -(2**63)
+#: Rows that go to a Python worker at a time while a scratch table is written.
+BATCH = "1000"
 
 _made: dict[str, str] = {}
 
@@ -46,7 +48,13 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     """df written to the shared scratch folder and read again: lineage ends here, and lost executors cost nothing."""
     spark = df.sparkSession
     path = f"{scratch(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, BATCH)  # texts are long: fewer rows at a time keep a Python worker small
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(key, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -57,7 +65,7 @@ def id_or_null(name: str = "doc_id") -> Column:
 class WordHash(dict):
     """64-bit hashes of words, remembered; forgets all when it holds `most` words, so that memory stays bounded."""
 
-    def __init__(self, most: int = 500_000):
+    def __init__(self, most: int = 100_000):
         super().__init__()
         self.most = most
 

@@ -141,11 +141,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the rows that hold a passage of the benchmark; all their columns."""
     for items in _slices(benchmark):
-        index = docs.sparkSession.sparkContext.broadcast(Index(items))
+        docs = docs.filter(~_copies(docs.sparkSession.sparkContext.broadcast(Index(items)))("text"))
+    return docs
 
-        @F.pandas_udf("boolean")
-        def copies(texts: pd.Series, index=index) -> pd.Series:
-            return pd.Series([next(iter(index.value.matches(t)), None) is not None for t in texts], dtype=bool)
 
-        docs = docs.filter(~copies("text"))
-    return docs
+def _copies(index):
+    def copies(texts: pd.Series) -> pd.Series:
+        return pd.Series([next(iter(index.value.matches(t)), None) is not None for t in texts], dtype=bool)
+
+    return F.pandas_udf(copies, "boolean")

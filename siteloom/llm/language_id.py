@@ -114,8 +114,8 @@ def _exact(codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return total
 
 
-def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text") -> DataFrame:
-    """docs with a column `language`: struct of lang_pred and score (the cosine, 0 to 1)."""
+def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text", out: str = "language") -> DataFrame:
+    """docs with a column `out`: struct of lang_pred and score (the cosine, 0 to 1)."""
     langs = list(prototypes)
     matrix = np.stack(list(prototypes.values())) if langs else np.zeros((0, DIMENSIONS))
 
@@ -133,7 +133,7 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "te
             found.append((langs[best], float(min(1.0, max(0.0, near[best])))))
         return pd.DataFrame(found, columns=["lang_pred", "score"])
 
-    return docs.withColumn("language", predict(F.col(text)))
+    return docs.withColumn(out, predict(F.col(text)))
 
 
 def fit(docs: DataFrame) -> dict[str, np.ndarray]:

@@ -132,12 +132,12 @@ def _apply(text: pd.Series, keep: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["n_lines", "n_dropped", "kept"])
 
 
-def without_shared_lines(docs: DataFrame) -> DataFrame:
-    """docs with a column `lines`: struct of n_lines, n_dropped and kept (the text that is left)."""
+def without_shared_lines(docs: DataFrame, out: str = "lines") -> DataFrame:
+    """docs with a column `out`: struct of n_lines, n_dropped and kept (the text that is left)."""
     keyed = docs.withColumns({"__d": id_or_null(), "__t": F.xxhash64("text")})
     maps = keep_bitmaps(docs).select(F.col("d").alias("__d"), F.col("t").alias("__t"), F.col("keep").alias("__keep"))
     joined = keyed.join(maps, ["__d", "__t"], "left")
-    return joined.withColumn("lines", pandas_udf(_apply, "n_lines long, n_dropped long, kept string")("text", "__keep")).drop("__d", "__t", "__keep")
+    return joined.withColumn(out, pandas_udf(_apply, "n_lines long, n_dropped long, kept string")("text", "__keep")).drop("__d", "__t", "__keep")
 
 
 def _digest(text: pd.Series, keep: pd.Series) -> pd.DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siteloom.llm import decontaminate, language_id, line_dedup, mixing, near_dedup
+from siteloom.llm import decontaminate, html_text, language_id, licenses, line_dedup, mixing, near_dedup, personal_data, secrets, top_k
 
 
 def _docs(spark, sf_dir):
@@ -11,9 +11,14 @@ def _docs(spark, sf_dir):
 
 def queries() -> dict:
     return {
+        "op1_html_text": lambda spark, d: html_text.extract(spark.read.parquet(f"{d}/pages.parquet")),
+        "op2_secrets": lambda spark, d: secrets.secret_digest(_docs(spark, d)),
         "op3_benchmark_passages": lambda spark, d: decontaminate.contaminated(_docs(spark, d), spark.read.parquet(f"{d}/benchmark.parquet")),
+        "op4_personal_data": lambda spark, d: personal_data.personal_data_digest(_docs(spark, d)),
         "op5_language_id": lambda spark, d: language_id.language_of_documents(_docs(spark, d)),
         "op6_line_dedup": lambda spark, d: line_dedup.line_digests(_docs(spark, d)),
+        "op7_licenses": lambda spark, d: licenses.license_labels(_docs(spark, d)),
+        "op8_top_k": lambda spark, d: top_k.top_k(spark.read.parquet(f"{d}/embeddings.parquet")),
         "op9_mixing": lambda spark, d: mixing.mix_digest(_docs(spark, d)),
         "op10_near_duplicates": lambda spark, d: near_dedup.near_duplicates(_docs(spark, d)),
     }
@@ -35,5 +40,18 @@ FROM marked GROUP BY doc_id
 """
 
 
+OP8 = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(a.q, b.q)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score
+FROM s QUALIFY rank <= 5
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_line_dedup": OP6}
+    return {"op6_line_dedup": OP6, "op8_top_k": OP8}
