@@ -3,7 +3,7 @@
 1. A document's sketch has 128 registers. A shingle's hash picks a register; the register keeps the least hash seen, as a
    leading-zero count (6 bits) and the 10 bits after the leading one. Documents with equal shingle sets are one class.
 2. Four registers make a band: 32 bands. At a similarity of 0.8 two classes share no band with probability 5e-8.
-3. Classes that share a band are candidates. An estimate from the registers, corrected for chance collisions and with six
+3. Classes that share a band are candidates. An estimate from the registers, corrected for chance collisions and with four
    standard errors of slack, leaves out hopeless pairs; the others are confirmed on their full sets.
 4. Only components matter, so not every pair is tested. Round 1 pairs each class with the most central class of its
    bands. Round 2 pairs classes with their best partner in another component, round 3 with every remaining candidate of
@@ -82,7 +82,7 @@ def agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     same = np.count_nonzero((a == b) & (a != 0), axis=-1)
     estimate = (same / np.maximum(full, 1) - COLLISION) / (1 - COLLISION)
     t = PERCENT / 100
-    return estimate >= t - 6 * np.sqrt(t * (1 - t) / np.maximum(full, 1)), estimate
+    return estimate >= t - 4 * np.sqrt(t * (1 - t) / np.maximum(full, 1)), estimate
 
 
 def _registers(column: pd.Series) -> np.ndarray:
