@@ -28,11 +28,11 @@ LEAST_WORDS = 5
 PERCENT = 80
 #: Benchmark words of a slice: 2.5 million seeds of 16 bytes, 40 MB.
 SLICE = 500_000
-_FOLD = bytes(c + 32 if 65 <= c <= 90 else 32 if c < 128 and not chr(c).isalnum() else c for c in range(256))
+_FOLD = bytes(32 if c < 128 and not chr(c).isalnum() else c for c in range(256))
 
 
 def words(text: str | None) -> np.ndarray:
-    return hash_words((text or "").encode("utf-8", "surrogatepass").translate(_FOLD).split())
+    return hash_words((text or "").lower().encode("utf-8", "surrogatepass").translate(_FOLD).split())
 
 
 def seeds(w: np.ndarray):

@@ -386,6 +386,11 @@ def test_decontamination(spark, docs, corpus, sf):
     assert want and want <= got and len(got - want) <= 0.1 * len(want)
 
 
+def test_decontamination_folds_all_letters():
+    passage = "Été à la forêt, où l'élan mangé çà et là des châtaignes"
+    assert [m[0] for m in decontaminate.Index([(9, passage)]).matches(f"X!! {passage.upper()} Y!!")] == [9]
+
+
 def test_decontamination_in_slices(spark, docs, monkeypatch):
     benchmark = spark.createDataFrame([(k, f"{PASSAGE} {k}" if k == 3 else " ".join(f"q{k}w{i}" for i in range(20))) for k in range(12)], "item_id long, text string")
     monkeypatch.setattr(decontaminate, "SLICE", 100)
