@@ -55,7 +55,15 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(key, before)
-    return spark.read.schema(df.schema).parquet(path)
+    again = spark.read.schema(df.schema).parquet(path)
+    again.scratch_path = path
+    return again
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes scratch tables that nothing will read again, so that the disk holds one step's tables and not all steps'."""
+    for table in tables:
+        _remove(table.sparkSession, table.scratch_path)
 
 
 def id_or_null(name: str = "doc_id") -> Column:

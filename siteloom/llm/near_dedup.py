@@ -4,11 +4,14 @@
    leading-zero count (6 bits) and the 10 bits after the leading one. Documents with equal shingle sets are one class.
 2. Four registers make a band: 32 bands. At a similarity of 0.8 two classes share no band with probability 5e-8.
 3. Classes that share a band are candidates. An estimate from the registers, corrected for chance collisions and with four
-   standard errors of slack, leaves out hopeless pairs; the others are confirmed on their full sets.
+   standard errors of slack, leaves out hopeless pairs; the others are confirmed on their full sets. Registers sample the
+   union without replacement, so the error shrinks with the share of the union they hold.
 4. Only components matter, so not every pair is tested. Round 1 pairs each class with the most central class of its
-   bands. Round 2 pairs classes with their best partner in another component, round 3 with every remaining candidate of
-   another component. Pairs inside a component are never made. Buckets of the same members are read once. Large buckets
-   are split into blocks; blocks of members outside the bucket's main component meet every block, in bounded memory.
+   bands. A screening then finds the classes that may still have a link to another component, and these get sketches
+   of 512 registers. Round 2 pairs them with their best partner in another component, round 3 with every remaining
+   candidate of another component. Pairs inside a component are never made, and a pair is made in the first bucket it
+   shares only. Buckets of the same members are read once. Large buckets are split into blocks; members outside the
+   bucket's main component meet every block, in bounded memory.
 
 Nulls and edge cases: a null text or one without words has an empty set, links with nothing and stays; with fewer words
 than a shingle the whole sequence is the one shingle; a null doc_id takes part but is never a component's id unless the
@@ -24,18 +27,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from siteloom.llm.common import hash_words, id_or_null, mix, runs, stored, whole_groups
+from siteloom.llm.common import hash_words, id_or_null, mix, release, runs, stored, whole_groups
 from siteloom.llm.components import components, merged
 
 BANDS, PER_BAND = 32, 4
 REGISTERS = BANDS * PER_BAND
+#: The logarithm of the number of registers: of the sketch that is banded, and of the one that rounds 2 and 3 estimate with.
+COARSE, FINE = 7, 9
 MANTISSA = 10
 #: Chance that registers of two different minima agree: a third of 2^-MANTISSA.
 COLLISION = 2.0**-MANTISSA / 3
 WIDTH = 5
 PERCENT = 80
 #: Members of a bucket that one block holds, and spokes that are confirmed against a hub in one run of rows.
-BLOCK, SPOKES = 256, 256
+BLOCK, SPOKES = 512, 256
 
 
 def shingles(text: str | None, width: int) -> np.ndarray:
@@ -51,15 +56,15 @@ def shingles(text: str | None, width: int) -> np.ndarray:
     return np.unique(mix(h))
 
 
-def sketch(hashes: np.ndarray) -> np.ndarray:
-    """128 registers of 16 bits from sorted hashes; 0 is an empty register."""
-    registers = np.zeros(REGISTERS, np.uint16)
-    slot, first = np.unique(hashes >> np.uint64(57), return_index=True)
-    value = (hashes[first] >> np.uint64(5) & np.uint64(2**52 - 1)).astype(np.float64)
+def sketch(hashes: np.ndarray, bits: int = COARSE) -> np.ndarray:
+    """2^bits registers of 16 bits from sorted hashes; 0 is an empty register."""
+    registers = np.zeros(1 << bits, np.uint16)
+    slot, first = np.unique(hashes >> np.uint64(64 - bits), return_index=True)
+    value = (hashes[first] << np.uint64(bits) >> np.uint64(12)).astype(np.float64)
     part, exponent = np.frexp(value)
     zeros = np.where(value > 0, 52 - exponent, 52)
-    bits = np.where(value > 0, (2 * part - 1) * 2**MANTISSA, 0)
-    registers[slot.astype(int)] = (zeros + 1).astype(np.uint16) << MANTISSA | bits.astype(np.uint16)
+    leading = np.where(value > 0, (2 * part - 1) * 2**MANTISSA, 0)
+    registers[slot.astype(int)] = (zeros + 1).astype(np.uint16) << MANTISSA | leading.astype(np.uint16)
     return registers
 
 
@@ -76,56 +81,101 @@ def _signatures(width):
     return run
 
 
-def agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """True where registers leave a similarity of PERCENT possible; a and b: registers, the last axis being theirs."""
-    full = np.count_nonzero((a != 0) | (b != 0), axis=-1)
+def agreement(a: np.ndarray, b: np.ndarray, both: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """True where registers leave a similarity of PERCENT possible, and the estimate.
+
+    a and b: registers, the last axis being theirs; both: the sum of the sets' sizes, if known. At the threshold t the union has
+    both / (1 + t) members; the m full registers hold m of them drawn without replacement, so the variance is
+    t (1 - t) / m times the share not drawn. One register of slack is for the rounding of the collisions' correction.
+    """
+    full = np.maximum(np.count_nonzero((a != 0) | (b != 0), axis=-1), 1)
     same = np.count_nonzero((a == b) & (a != 0), axis=-1)
-    estimate = (same / np.maximum(full, 1) - COLLISION) / (1 - COLLISION)
+    estimate = (same / full - COLLISION) / (1 - COLLISION)
     t = PERCENT / 100
-    return estimate >= t - 4 * np.sqrt(t * (1 - t) / np.maximum(full, 1)), estimate
+    left = 1.0
+    if both is not None:
+        union = np.maximum(both / (1 + t), 2)
+        left = np.clip((union - full) / (union - 1), 0, 1)
+    return estimate >= t - 4 * np.sqrt(t * (1 - t) / full * left) - 1 / full, estimate
+
+
+def sizes_allow(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return 100 * np.minimum(a, b) >= PERCENT * np.maximum(a, b)
 
 
 def _registers(column: pd.Series) -> np.ndarray:
-    return np.stack(column.to_numpy()).astype(np.int64).view(np.uint16) if len(column) else np.zeros((0, REGISTERS), np.uint16)
+    return np.stack(column.to_numpy()).astype(np.int64).view(np.uint16)
 
 
 def _estimate(a: pd.Series, b: pd.Series, na: pd.Series, nb: pd.Series) -> pd.Series:
     """The estimated similarity; null if a link is out of the question."""
-    can, estimate = agreement(_registers(a), _registers(b))
-    can &= 100 * np.minimum(na, nb) >= PERCENT * np.maximum(na, nb)
+    if not len(a):
+        return pd.Series([], dtype="Float64")
+    na, nb = na.to_numpy(), nb.to_numpy()
+    can, estimate = agreement(_registers(a), _registers(b), na + nb)
+    can &= sizes_allow(na, nb)
     return pd.Series(np.where(can, estimate, np.nan)).astype("Float64").where(can)
 
 
-def _bucket_pairs(best_only: bool):
-    """Candidate pairs of different components from rows (bucket, block, side, k, comp, n, bands) sorted by bucket and block.
+def _met(batches, fine: bool):
+    """Per group of rows sorted by bucket, block and visit: (k, guest rows' index, partners' indices, their estimates).
 
-    side 0: the block's members; side 1: members outside the bucket's main component that visit the block.
+    side 0: the block's members; side 1: guests, members outside the bucket's main component that visit the block. A pair
+    of classes meets in the first of the buckets that both are in, and two guests of a bucket meet once.
     """
+    bit = np.int64(1) << np.arange(BANDS, dtype=np.int64)
+    for frame in whole_groups(batches, ["bucket", "block", "visit"]):
+        cut = runs(frame, ["bucket", "block", "visit"])
+        k, comp, n, side, guest, band, mask = (frame[c].to_numpy() for c in ("k", "comp", "n", "side", "guest", "band", "mask"))
+        bands = np.stack(frame["bands"].to_numpy()).astype(np.int64)
+        regs = _registers(frame["fine"]) if fine else bands.view(np.uint16)
+        for a, b in zip(cut[:-1], cut[1:], strict=True):
+            own = np.arange(a, b)[side[a:b] == 0]
+            for i in np.arange(a, b)[side[a:b] == 1]:
+                j = own[(comp[own] != comp[i]) & sizes_allow(n[own], n[i]) & ((k[own] > k[i]) | ~guest[own])]
+                j = j[((bands[j] == bands[i]) & (mask[i] & bit != 0)).argmax(axis=1) == band[i]]
+                if len(j):
+                    can, near = agreement(regs[j], regs[i], n[j] + n[i])
+                    if can.any():
+                        yield k, i, j[can], near[can]
+
+
+def _screened(batches):
+    """The classes that have a candidate in another component, each once in a batch of rows."""
+    found: set[int] = set()
+    for k, i, j, _ in _met(batches, fine=False):
+        found.add(int(k[i]))
+        found.update(k[j].tolist())
+        if len(found) >= 10_000:
+            yield pd.DataFrame({"k": list(found)}, dtype="int64")
+            found = set()
+    yield pd.DataFrame({"k": list(found)}, dtype="int64")
+
+
+def _candidates(best_only: bool):
+    """Candidate pairs of different components, of each guest and block the best or all."""
 
     def run(batches):
-        for frame in whole_groups(batches, ["bucket", "block", "visit"]):
-            cut = runs(frame, ["bucket", "block", "visit"])
-            k, comp, n, side = (frame[c].to_numpy() for c in ("k", "comp", "n", "side"))
-            regs = _registers(frame["bands"])
-            out = []
-            for a, b in zip(cut[:-1], cut[1:], strict=True):
-                own = np.arange(a, b)[side[a:b] == 0]
-                if not len(own):
-                    continue
-                for i in np.arange(a, b)[side[a:b] == 1]:
-                    j = own[(comp[own] != comp[i]) & (100 * np.minimum(n[own], n[i]) >= PERCENT * np.maximum(n[own], n[i]))]
-                    if not len(j):
-                        continue
-                    can, near = agreement(regs[j], regs[i])
-                    j, near = j[can], near[can]
-                    if best_only and len(j):
-                        j = j[near.argmax()][None]
-                    out += [(min(k[i], x), max(k[i], x)) for x in k[j]]
-            yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+        out: list[tuple[int, int]] = []
+        for k, i, j, near in _met(batches, fine=True):
+            if best_only:
+                j = j[near.argmax()][None]
+            out += [(min(k[i], x), max(k[i], x)) for x in k[j]]
+            if len(out) >= 10_000:
+                yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+                out = []
+        yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     return run
 
 
+def _fine(batches):
+    """(k, 512 registers) of (k, hashes)."""
+    for batch in batches:
+        regs = [sketch(np.frombuffer(raw, np.uint64), FINE).view(np.int64) for raw in batch["hashes"]]
+        yield pd.DataFrame({"k": batch["k"], "fine": pd.Series(regs, dtype=object)})
+
+
 def _confirm(batches):
     """Links from rows (hub, chunk, spoke, hashes) sorted so that the hub's own row (no spoke) comes first."""
     at, hub = None, None
@@ -152,12 +202,37 @@ def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     )
     spokes = dealt.join(sets, F.col("spoke") == F.col("k")).select("hub", "chunk", "spoke", "hashes")
     hubs = dealt.select("hub", "chunk").distinct().join(sets, F.col("hub") == F.col("k")).select("hub", "chunk", F.col("hub").alias("spoke"), "hashes")
-    return stored(
+    links = stored(
         spokes.union(hubs).withColumn("later", F.col("hub") != F.col("spoke"))
         .repartition("hub", "chunk").sortWithinPartitions("hub", "chunk", "later").drop("later")
         .mapInPandas(_confirm, "a long, b long"),
         "links",
     )
+    release(dealt)
+    return links
+
+
+def _meetings(member: DataFrame, label: DataFrame, about: DataFrame) -> DataFrame:
+    """Rows (bucket, block, visit, side, k, comp, guest, band, mask, ...about) of the buckets with several components, sorted for _met.
+
+    A bucket's members are dealt out in blocks. Those outside its main component are guests; they are dealt out as well, in
+    visits, and go to every block, which appears once for each visit.
+    """
+    inside = stored(member.join(label, F.col("k") == F.col("id")).join(about.select("k"), "k").select("bucket", "band", "mask", "k", "comp"), "inside")
+    by_comp = inside.groupBy("bucket", "comp").agg(F.count("*").alias("c"))
+    main = (
+        by_comp.groupBy("bucket").agg(F.count("*").alias("comps"), F.sum("c").alias("size"), F.max_by("comp", F.struct("c", "comp")).alias("main"))
+        .filter("comps > 1").select("bucket", "main", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    )
+    mixed = inside.join(main, "bucket").withColumn("guest", F.col("comp") != F.col("main"))
+    keep = ["bucket", "block", "visit", "side", "band", "mask", "k", "comp", "guest"]
+    guests = mixed.filter("guest").withColumn("visit", F.pmod(F.xxhash64("k", F.lit(1)), F.col("blocks")).cast("int"))
+    seats = guests.select("bucket", "visit").distinct()
+    home = mixed.withColumn("block", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int")).withColumn("side", F.lit(0))
+    rows = home.join(seats, "bucket").select(keep).union(
+        guests.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("side", F.lit(1)).select(keep)
+    )
+    return rows.join(about, "k").repartition("bucket", "block", "visit").sortWithinPartitions("bucket", "block", "visit", "side")
 
 
 def _sets(width):
@@ -184,54 +259,51 @@ def groups(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         "classes",
     )
     banded = classes.select("k", F.posexplode("bands").alias("band", "value")).filter("value <> 0")
-    banded = banded.select(F.xxhash64("band", "value").alias("bucket"), "k")
+    banded = banded.select(F.xxhash64("band", "value").alias("bucket"), "band", "k")
     shared = banded.groupBy("bucket").agg(F.count("*").alias("size"), F.sum(F.xxhash64("k").cast("decimal(20,0)")).alias("who")).filter("size > 1")
     # of buckets with the same members, one is enough; the others only add to a member's weight
     shared = stored(shared, "buckets")
     once = shared.groupBy("size", "who").agg(F.min("bucket").alias("bucket"), F.count("*").alias("times")).select("bucket", "size", "times")
     member = stored(banded.join(once, "bucket"), "members")
+    release(shared)
 
-    weight = member.groupBy("k").agg(F.sum(F.col("size") * F.col("times")).alias("weight"))
-    hub = member.join(weight, "k").groupBy("bucket").agg(F.max_by("k", F.struct("weight", "k")).alias("hub"))
-    star = member.join(hub, "bucket").filter("hub <> k").groupBy("hub", F.col("k").alias("spoke")).count().select("hub", "spoke")
+    weight = member.groupBy("k").agg(F.sum(F.col("size") * F.col("times")).alias("weight"), F.sum(F.expr("shiftleft(1L, band)")).alias("mask"))
+    weighed = stored(member.join(weight, "k").select("bucket", "band", "k", "mask", "weight"), "weighed")
+    release(member)
+    hub = weighed.groupBy("bucket").agg(F.max_by("k", F.struct("weight", "k")).alias("hub"))
+    star = weighed.join(hub, "bucket").filter("hub <> k").groupBy("hub", F.col("k").alias("spoke")).count().select("hub", "spoke")
     about = classes.select("k", "n", "bands")
     at_hub, at_spoke = (about.select(F.col("k").alias(x), F.col("n").alias(f"n_{x}"), F.col("bands").alias(f"b_{x}")) for x in ("hub", "spoke"))
     near = star.join(at_spoke, "spoke").join(at_hub, "hub").select("hub", "spoke", pandas_udf(_estimate, "double")("b_hub", "b_spoke", "n_hub", "n_spoke").alias("near"))
-    first = near.filter("near IS NOT NULL").groupBy("spoke").agg(F.max_by("hub", F.struct("near", "hub")).alias("hub"))
+    first = stored(near.filter("near IS NOT NULL").groupBy("spoke").agg(F.max_by("hub", F.struct("near", "hub")).alias("hub")), "first")
 
-    wanted = classes.join(member.select("k").distinct(), "k", "left_semi").select("k", F.col("rep").alias("doc"))
     texts = docs.select(id_or_null().alias("doc"), "text")
-    sets = stored(texts.join(wanted, "doc").select("k", "text").mapInPandas(_sets(width), "k long, hashes binary"), "sets")
-
-    label = stored(member.select(F.col("k").alias("id")).distinct().withColumn("comp", F.col("id")), "label")
-    links = _links(first.select("hub", "spoke"), sets)
-    label = merged(label, links)
-    tested = first.select(F.least("hub", "spoke").alias("a"), F.greatest("hub", "spoke").alias("b"))
-    for best_only in (True, False):
-        inside = stored(member.join(label, F.col("k") == F.col("id")).select("bucket", "size", "k", "comp"), "inside")
-        by_comp = inside.groupBy("bucket", "comp").agg(F.count("*").alias("c"))
-        main = by_comp.groupBy("bucket").agg(F.count("*").alias("comps"), F.max_by("comp", F.struct("c", "comp")).alias("main")).filter("comps > 1")
-        mixed = inside.join(main, "bucket").join(about, "k").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-        keep = ["bucket", "block", "visit", "side", "k", "comp", "n", "bands"]
-        own_visit = F.pmod(F.xxhash64("k", F.lit(1)), F.col("blocks")).cast("int")
-        home = mixed.withColumn("block", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int")).withColumn("side", F.lit(0))
-        guests = mixed.filter("comp <> main").withColumn("visit", own_visit).withColumn("side", F.lit(1))
-        seats = guests.select("bucket", "visit").distinct()
-        rows = home.join(seats, "bucket").select(keep).union(
-            guests.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(keep)
-        )
-        pairs = (
-            rows.repartition("bucket", "block", "visit").sortWithinPartitions("bucket", "block", "visit", "side")
-            .mapInPandas(_bucket_pairs(best_only), "a long, b long").distinct()
-            .join(tested, ["a", "b"], "left_anti")
-        )
-        pairs = stored(pairs, "candidates")
-        if pairs.isEmpty():
-            continue
-        links = _links(pairs.select(F.col("a").alias("hub"), F.col("b").alias("spoke")), sets)
-        comp = lambda x: label.select(F.col("id").alias(x), F.col("comp").alias(f"c_{x}"))  # noqa: E731, B023
-        label = merged(label, links.join(comp("a"), "a").join(comp("b"), "b").select(F.col("c_a").alias("a"), F.col("c_b").alias("b")).distinct())
-        tested = tested.union(pairs)
+
+    def sets_of(ks: DataFrame) -> DataFrame:
+        wanted = classes.join(ks, "k", "left_semi").select("k", F.col("rep").alias("doc"))
+        return stored(texts.join(wanted, "doc").select("k", "text").mapInPandas(_sets(width), "k long, hashes binary"), "sets")
+
+    sets = sets_of(first.select(F.col("hub").alias("k")).union(first.select("spoke")).distinct())
+    label = stored(weighed.select(F.col("k").alias("id")).distinct().withColumn("comp", F.col("id")), "label")
+    label = merged(label, _links(first.select("hub", "spoke"), sets))
+    release(sets)
+
+    open_ = stored(_meetings(weighed, label, about).mapInPandas(_screened, "k long").distinct(), "open")
+    if not open_.isEmpty():
+        sets = sets_of(open_)
+        fine = sets.mapInPandas(_fine, "k long, fine array<bigint>").groupBy("k").agg(F.first("fine").alias("fine"))
+        about = stored(about.join(fine, "k"), "about")
+        tested = first.select(F.least("hub", "spoke").alias("a"), F.greatest("hub", "spoke").alias("b"))
+        for best_only in (True, False):
+            met = _meetings(weighed, label, about).mapInPandas(_candidates(best_only), "a long, b long")
+            pairs = stored(met.distinct().join(tested, ["a", "b"], "left_anti"), "candidates")
+            if pairs.isEmpty():
+                continue
+            links = _links(pairs.select(F.col("a").alias("hub"), F.col("b").alias("spoke")), sets)
+            comp = lambda x: label.select(F.col("id").alias(x), F.col("comp").alias(f"c_{x}"))  # noqa: E731, B023
+            label = merged(label, links.join(comp("a"), "a").join(comp("b"), "b").select(F.col("c_a").alias("a"), F.col("c_b").alias("b")).distinct())
+            tested = tested.union(pairs)
+        release(sets, about)
 
     whole = classes.join(label, F.col("k") == F.col("id"), "left").select("k", "least", F.coalesce("comp", "k").alias("comp"))
     ids = whole.groupBy("comp").agg(F.min("least").alias("component_id"))
