@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from siteloom.llm import decontaminate, html_text, language_id, licenses, line_dedup, mixing, near_dedup, personal_data, secrets, top_k
@@ -360,6 +361,53 @@ def test_near_duplicates_of_a_hub(spark, monkeypatch):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(_groups(rows, 4))
 
 
+def test_near_duplicates_without_an_original(spark, monkeypatch):
+    """Copies scattered around the threshold, in several components and blocks: later rounds link them, each pair made once."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    made, keep = [], near_dedup.stored
+
+    def stored(df, tag):
+        if tag == "candidates":
+            made.append(keep(df.sparkSession.createDataFrame(df.collect(), df.schema), tag))
+            return made[-1]
+        return keep(df, tag)
+
+    monkeypatch.setattr(near_dedup, "stored", stored)
+    rng = np.random.default_rng(11)
+    rows = []
+    for family in range(3):
+        base = [f"f{family}w{k}" for k in range(150)]
+        for i in range(40):
+            words = list(base)
+            for at in rng.choice(150, int(rng.integers(2, 6)), replace=False):
+                words[at] = f"x{family}_{i}_{at}"
+            rows.append((family * 100 + i, " ".join(words)))
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = near_dedup.near_duplicates(table).collect()
+    want = _groups(rows, 4)
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(want)
+    assert 3 < len({c for _, _, c in want}) < len(rows)
+    pairs = [(r.a, r.b) for t in made for r in t.collect()]
+    assert pairs and len(pairs) == len(set(pairs)) and all(a < b for a, b in pairs)
+
+
+def test_pairs_meet_in_their_first_bucket_only():
+    """Four classes of three components in two buckets with the same members: each pair of different components once."""
+    bands = np.zeros(near_dedup.BANDS, np.int64)
+    bands[:2] = 2**50 + 3
+    keys = ["bucket", "block", "visit", "side", "k", "comp", "n", "guest", "band", "mask", "bands", "fine"]
+    fine = near_dedup.sketch(np.arange(1, 4000, dtype=np.uint64) * np.uint64(2**52), near_dedup.FINE).view(np.int64)
+    rows = []
+    for band in (0, 1):
+        for k, comp in ((1, 1), (2, 1), (3, 3), (4, 4)):
+            rows.append((band, 0, 0, 0, k, comp, 100, comp != 1, band, 3, bands, fine))
+            if comp != 1:
+                rows.append((band, 0, 0, 1, k, comp, 100, True, band, 3, bands, fine))
+    frame = pd.DataFrame(rows, columns=keys).sort_values(keys[:4], ignore_index=True)
+    found = pd.concat(near_dedup._candidates(False)([frame]))
+    assert sorted(map(tuple, found.to_numpy().tolist())) == [(1, 3), (1, 4), (2, 3), (2, 4), (3, 4)]
+
+
 def test_sketch_estimates():
     rng = np.random.default_rng(2)
     for j in (0.3, 0.8, 0.95):
