@@ -3,8 +3,8 @@
 Hashes of line keys are range-partitioned by (hash, document) and sorted by document, largest first, so a line's first
 occurrence in the stream is the one that stays. A task decides every line whose run begins and ends within a batch. A run
 that crosses a batch or partition border goes on as undecided rows plus one count for each piece; those counts (a few for
-each batch) are added up and joined back. So a line that a third of all documents hold is spread over many tasks, and no
-task holds a run. Results are compressed bitmaps of dropped lines, one for each document that loses any.
+each batch) are added up and joined back to the rows by hash and piece. A piece lies within one partition, so a line that
+a third of all documents hold is spread over as many tasks as it has pieces, and no task holds a run. Results are compressed bitmaps of dropped lines, one for each document that loses any.
 
 Nulls and edge cases: a null or empty text is one empty line; a null doc_id counts as one id below all others; rows that
 repeat a doc_id count as one document and lose or keep the same lines; extra columns pass through; the order of lines and
@@ -19,6 +19,7 @@ import zlib
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
@@ -30,7 +31,8 @@ MIN_CHARS = 40
 MIN_DOCS = 5
 
 #: kind 0: a drop that is settled; 1: a row of a run that crosses a border; 2: the count of a piece of such a run.
-_STREAM = "kind int, h1 long, h2 long, d long, t long, n_lines int, at array<int>, n long"
+#: piece: the partition that a piece lies in, which tells the pieces of a run apart.
+_STREAM = "kind int, h1 long, h2 long, piece int, d long, t long, n_lines int, at array<int>, n long"
 
 
 def _line_keys(batches):
@@ -51,11 +53,13 @@ def _line_keys(batches):
 
 def _stream(batches):
     """Runs of one hash, from rows sorted by (h1, h2, d descending)."""
-    columns = ["kind", "h1", "h2", "d", "t", "n_lines", "at", "n"]
+    columns = ["kind", "h1", "h2", "piece", "d", "t", "n_lines", "at", "n"]
+    task = TaskContext.get()
+    here = task.partitionId() if task else 0
     open_ = None  # [h1, h2, documents so far, largest doc, last doc] of the run that crosses the border
 
     def piece(state):
-        return pd.DataFrame([(2, state[0], state[1], state[3], 0, 0, [], state[2])], columns=columns)
+        return pd.DataFrame([(2, state[0], state[1], here, state[3], 0, 0, [], state[2])], columns=columns)
 
     for batch in batches:
         if batch.empty:
@@ -75,12 +79,12 @@ def _stream(batches):
                     open_ = [head[a, 0], head[a, 1], 0, d[a], None]
                 open_[2] += int(np.count_nonzero(np.diff(d[a:b]))) + (open_[4] is None or open_[4] != d[a])
                 open_[4] = d[b - 1]
-                part = batch.iloc[a:b].assign(kind=1, n=0)
+                part = batch.iloc[a:b].assign(kind=1, piece=here, n=0)
                 yield part[columns]
             elif b - a >= MIN_DOCS and np.count_nonzero(np.diff(d[a:b])) + 1 >= MIN_DOCS:
                 sure.append(np.arange(a, b)[d[a:b] != d[a]])
         if sure:
-            yield batch.iloc[np.concatenate(sure)].assign(kind=0, n=0)[columns]
+            yield batch.iloc[np.concatenate(sure)].assign(kind=0, piece=here, n=0)[columns]
     if open_ is not None:
         yield piece(open_)
 
@@ -107,12 +111,10 @@ def keep_bitmaps(docs: DataFrame) -> DataFrame:
         .mapInPandas(_stream, _STREAM),
         "runs",
     )
-    totals = (
-        seen.filter("kind = 2").groupBy("h1", "h2")
-        .agg(F.sum("n").alias("docs"), F.max("d").alias("stays"))
-        .filter(F.col("docs") >= MIN_DOCS)
-    )
-    late = seen.filter("kind = 1").drop("n").join(totals, ["h1", "h2"]).filter("d <> stays")
+    pieces = seen.filter("kind = 2")
+    totals = pieces.groupBy("h1", "h2").agg(F.sum("n").alias("docs"), F.max("d").alias("stays")).filter(F.col("docs") >= MIN_DOCS)
+    decided = pieces.select("h1", "h2", "piece").join(totals.select("h1", "h2", "stays"), ["h1", "h2"])
+    late = seen.filter("kind = 1").drop("n").join(decided, ["h1", "h2", "piece"]).filter("d <> stays")
     drops = seen.filter("kind = 0").select("d", "t", "n_lines", "at").unionByName(late.select("d", "t", "n_lines", "at"))
     by_doc = drops.groupBy("d", "t").agg(F.max("n_lines").alias("n"), F.flatten(F.collect_list("at")).alias("at"))
     return by_doc.select("d", "t", pandas_udf(_pack, "binary")("at", "n").alias("keep"))
