@@ -26,6 +26,7 @@ CUES = ("iban", "account number", "account no", "acct", "passport", "ssn", "soci
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+_DIGITS = re.compile("[0-9]+")
 _IP = re.compile(r"([0-9]+)\.([0-9]+)\.([0-9]+)\.([0-9]+)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
@@ -70,10 +71,13 @@ def spans(text: str | None) -> list[tuple[str, int, int]]:
     for last, mark in _anchors().iter(text):
         at = last
         if mark == "0":
-            if at >= end["ip"] and (m := _IP.match(text, at)):
-                end["ip"] = m.end()
-                if all(len(g.lstrip("0")) < 4 and int(g) <= 255 for g in m.groups()):
-                    found.append(("ip", at, m.end()))
+            if at >= end["ip"]:
+                if m := _IP.match(text, at):
+                    end["ip"] = m.end()
+                    if all(len(g) < 4 and int(g or 0) <= 255 for g in (x.lstrip("0") for x in m.groups())):
+                        found.append(("ip", at, m.end()))
+                else:  # what fails at a run of digits fails at its later digits, too
+                    end["ip"] = _DIGITS.match(text, at).end()
             if at >= end["card"] and (m := _CARD.match(text, at)):
                 end["card"] = m.end()
                 digits = m[0].replace(" ", "").replace("-", "")
