@@ -15,7 +15,9 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_left
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -45,10 +47,14 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 def candidates(text: str, taken: list[tuple[str, int, int]]):
     """Runs of key characters with a letter and a digit that overlap no span taken."""
+    taken = sorted((a, b) for _, a, b in taken)
+    starts, ends = [a for a, _ in taken], list(accumulate((b for _, b in taken), max))
     for m in _CANDIDATE.finditer(text) if _DIGIT.search(text) else ():
         run = m[0]
-        if any(c.isdigit() for c in run) and any(c.isalpha() for c in run) and all(m.end() <= a or m.start() >= b for _, a, b in taken):
-            yield m.span()
+        if any(c.isdigit() for c in run) and any(c.isalpha() for c in run):
+            before = bisect_left(starts, m.end())  # spans that begin before the run ends, and the furthest end of them
+            if not before or ends[before - 1] <= m.start():
+                yield m.span()
 
 
 #: Character classes: 0 none, 1 other, 2 white space; hex letters, other letters and digits by case; signs on their own.

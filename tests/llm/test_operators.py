@@ -179,6 +179,24 @@ def test_personal_data_added_kinds():
     assert [text[a:b] for k, a, b in personal_data.spans(text) if k in ("uri", "account")] == ["ftp://bob:pw@host.example", "GB82 WEST 1234 5698 7654 32", "X1234567"]
 
 
+def test_personal_data_long_runs():
+    """Runs of digits of any length: in time proportional to their length, and no limit of int() is met."""
+    for text in ("7" * 200_000, "0" * 9000 + ".1.2.3", "1.2.3 " * 5 + "0001.2.3.255", "300.1.2.3.4", "1.2..3.4.5.6"):
+        assert [s for s in personal_data.spans(text) if s[0] == "ip"] == [
+            ("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text if len(text) < 100_000 else "")
+            if all(int(x.lstrip("0") or 0) <= 255 for x in m[0].split("."))
+        ]
+
+
+def test_secret_candidates_beside_spans():
+    text = " ".join(f"token=abcdef{k:030x} Zq9{k:020d}" for k in range(3000))
+    base = secrets.base_spans(text)
+    assert len(list(secrets.candidates(text, base))) == 3000
+    few = base[:30]
+    want = [m.span() for m in re.finditer(r"[A-Za-z0-9+/_=-]{16,}", text) if all(m.end() <= a or m.start() >= b for _, a, b in few)]
+    assert list(secrets.candidates(text, few)) == want
+
+
 def test_language(docs, corpus):
     got = language_id.language_of_documents(docs).collect()
     assert len(got) == docs.count()
