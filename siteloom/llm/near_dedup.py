@@ -249,7 +249,7 @@ def _sets(width):
 
 
 def groups(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """One row for each document: doc_id, n_shingles, k (its class) and component_id."""
+    """One row for each document: doc_id, n_shingles, class_id (the smallest doc_id with an equal set) and component_id."""
     signed = stored(
         docs.select("doc_id", "text").mapInPandas(_signatures(width), "doc_id long, n long, k long, bands array<bigint>"), "signatures"
     )
@@ -307,17 +307,15 @@ def groups(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
     whole = classes.join(label, F.col("k") == F.col("id"), "left").select("k", "least", F.coalesce("comp", "k").alias("comp"))
     ids = whole.groupBy("comp").agg(F.min("least").alias("component_id"))
-    of_class = whole.join(ids, "comp").select("k", "component_id")
-    return (
-        signed.select("doc_id", F.col("n").alias("n_shingles"), "k").join(of_class, "k", "left")
-        .select("doc_id", "n_shingles", "k", F.when(F.col("k").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
-    )
+    of_class = whole.join(ids, "comp").select("k", F.col("least").alias("class_id"), "component_id")
+    own = lambda name: F.when(F.col("k").isNull(), F.col("doc_id")).otherwise(F.col(name)).alias(name)
+    return signed.select("doc_id", F.col("n").alias("n_shingles"), "k").join(of_class, "k", "left").select("doc_id", "n_shingles", own("class_id"), own("component_id"))
 
 
 def near_duplicates(docs: DataFrame, width: int = 4) -> DataFrame:
-    """The contract's digest: doc_id, n_shingles, component_id, kept; k, the class, follows."""
+    """The contract's digest: doc_id, n_shingles, component_id, kept; class_id follows."""
     found = groups(docs, width)
-    return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), F.col("k").alias("class_id"))
+    return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "class_id")
 
 
 def one_of_each(docs: DataFrame, width: int = WIDTH) -> DataFrame:

@@ -53,5 +53,25 @@ FROM s QUALIFY rank <= 5
 """
 
 
+#: Classes of equal shingle sets, links between classes by their common shingles, then everything reachable.
+OP10 = f"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')))) END AS s
+  FROM split),
+docs AS (SELECT doc_id, len(s) AS n, CASE WHEN len(s) = 0 THEN doc_id ELSE min(doc_id) OVER (PARTITION BY sha256(array_to_string(s, chr(10)))) END AS c FROM sets),
+grams AS (SELECT d.c, d.n, unnest(s) AS g FROM sets JOIN docs d USING (doc_id) WHERE d.doc_id = d.c),
+links AS (
+  SELECT a.c AS a, b.c AS b FROM grams a JOIN grams b ON a.g = b.g AND a.c <> b.c
+  GROUP BY a.c, b.c, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+reach AS (SELECT DISTINCT c AS a, c AS b FROM docs UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+least AS (SELECT a AS c, min(b) AS m FROM reach GROUP BY a)
+SELECT d.doc_id, d.n::BIGINT AS n_shingles, m AS component_id, d.doc_id = m AS kept, d.c AS class_id FROM docs d JOIN least USING (c)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_line_dedup": OP6, "op8_top_k": OP8}
+    return {"op6_line_dedup": OP6, "op8_top_k": OP8, "op10_near_duplicates": OP10}

@@ -7,10 +7,11 @@ import re
 import zlib
 
 import numpy as np
+import oracle
 import pandas as pd
 import pytest
 
-from siteloom.llm import decontaminate, html_text, language_id, licenses, line_dedup, mixing, near_dedup, personal_data, secrets, top_k
+from siteloom.llm import decontaminate, html_text, language_id, licenses, line_dedup, mixing, near_dedup, personal_data, queries, secrets, top_k
 
 SHARED = "This line of more than forty characters stands in many documents."
 PASSAGE = " ".join(f"benchword{k}" for k in range(30))
@@ -361,6 +362,13 @@ def test_near_duplicates(which, width, request):
     got = near_dedup.near_duplicates(table, width).collect()
     assert sorted(map(str, [(r.doc_id, r.n_shingles, r.component_id) for r in got])) == sorted(map(str, _groups(_rows(table), width)))
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
+    rows = _rows(table)
+    least: dict = {}
+    for (d, _), x in zip(rows, map(frozenset, _sets(rows, width)), strict=True):
+        if d is not None:
+            least[x] = min(d, least.get(x, d))
+    want = [(d, least.get(frozenset(x)) if x else d) for (d, _), x in zip(rows, _sets(rows, width), strict=True)]
+    assert sorted(map(str, [(r.doc_id, r.class_id) for r in got])) == sorted(map(str, want))
 
 
 def test_near_duplicates_of_a_hub(spark, monkeypatch):
@@ -462,3 +470,16 @@ def test_decontamination_in_slices(spark, docs, monkeypatch):
     monkeypatch.setattr(decontaminate, "SLICE", 100)
     assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, benchmark).collect()} == {(50, 3), (51, 3)}
     assert decontaminate.clean(docs, benchmark).count() == docs.count() - 2
+
+
+def test_decontamination_with_repeated_items(spark, docs):
+    benchmark = spark.createDataFrame([(3, PASSAGE)] * 3 + [(4, PASSAGE), (None, PASSAGE)], "item_id long, text string")
+    got = sorted((r.doc_id, str(r.item_id)) for r in decontaminate.contaminated(docs, benchmark).collect())
+    assert got == sorted((d, k) for d in (50, 51) for k in ("3", "3", "3", "4", "None"))
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_query_equals_sql(spark, sf, name):
+    got, want = oracle.spark_rows(queries.queries()[name](spark, sf)), oracle.duck_rows(oracle.connect(sf), queries.oracle_sql()[name])
+    assert got[0] == want[0] and len(got[1]) > 0
+    assert got[1] == want[1]
