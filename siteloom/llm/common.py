@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 #: Java's smallest long stands for a null id inside the operators, so that null ids join and sort like any other.
 NULL_ID = -(2**63)
-#: Rows that go to a Python worker at a time while a scratch table is written.
+#: Rows that go to a Python worker at a time.
 BATCH = "1000"
 
 _made: dict[str, str] = {}
@@ -44,17 +44,20 @@ def _remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From here on BATCH rows go to a Python worker at a time: texts are long, and Spark's 10000 rows would not stay small.
+
+    The setting is read when a plan runs, which is after an operator has returned it, so it stays for the session.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
+
+
 def stored(df: DataFrame, tag: str) -> DataFrame:
     """df written to the shared scratch folder and read again: lineage ends here, and lost executors cost nothing."""
     spark = df.sparkSession
     path = f"{scratch(spark)}/{tag}-{uuid.uuid4().hex}"
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, BATCH)  # texts are long: fewer rows at a time keep a Python worker small
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(key, before)
+    small_batches(spark)
+    df.write.parquet(path)
     again = spark.read.schema(df.schema).parquet(path)
     again.scratch_path = path
     return again

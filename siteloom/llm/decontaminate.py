@@ -7,7 +7,7 @@ alignment; there the words are compared one by one. A passage counts as copied w
 whole item, if it is shorter) has at least 80 % equal words.
 
 The benchmark's seeds go to the executors in slices of at most SLICE words, one pass over the documents for each slice,
-so what is broadcast is bounded whatever the benchmark's size.
+so what is broadcast is bounded whatever the benchmark's size. Items that repeat go once, with their count.
 
 Nulls and edge cases: null and empty texts match nothing; items with fewer than five words are left out; rows with a null
 doc_id are reported with it; repeated items and documents are reported each; extra columns are not read or pass through.
@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siteloom.llm.common import hash_words, mix
+from siteloom.llm.common import hash_words, mix, small_batches, stored
 
 MASKS = ("11111", "111101", "111011", "110111", "101111")
 WINDOW = 13
@@ -49,12 +49,13 @@ def seeds(w: np.ndarray):
 
 
 class Index:
-    """Seeds of one slice of the benchmark, and a bit table that rules most places out."""
+    """Seeds of one slice of the benchmark, and a bit table that rules most places out. items: (item_id, text) and how many
+    rows are so, if more than one."""
 
-    def __init__(self, items: list[tuple[int | None, str]]):
-        self.ids, self.items = [], []
+    def __init__(self, items: list[tuple]):
+        self.ids, self.items, self.times = [], [], []
         hashes, item, place = [], [], []
-        for key, text in items:
+        for key, text, *times in items:
             w = words(text)
             if len(w) < LEAST_WORDS:
                 continue
@@ -63,6 +64,7 @@ class Index:
                 item.append(np.full(len(h), len(self.items), np.int32))
                 place.append(np.arange(len(h), dtype=np.int32))
             self.ids.append(key)
+            self.times.append(times[0] if times else 1)
             self.items.append(w)
         h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
         order = np.argsort(h, kind="stable")
@@ -103,21 +105,22 @@ class Index:
             row = (int(same[hi] - same[lo]), -(a + shift + lo), a + shift + hi, len(own))
             best[item] = max(best.get(item, row), row)
         for item, (n, start, end, size) in best.items():
-            yield self.ids[item], n, -start, end, size
+            yield from [(self.ids[item], n, -start, end, size)] * self.times[item]
 
 
 def _slices(benchmark: DataFrame):
-    rows = benchmark.select("item_id", "text").filter("text IS NOT NULL")
+    rows = stored(benchmark.filter("text IS NOT NULL").groupBy("item_id", "text").agg(F.count("*").alias("times")), "benchmark")
     total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     n = max(1, -(-total // (2 * SLICE)))  # a word and its gap have two characters at least
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
     for i in range(n):
-        yield [(r[0], r[1]) for r in rows.filter(part == i).collect()]
+        yield [tuple(r) for r in rows.filter(part == i).collect()]
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """A row for each document and item it copies from: doc_id, item_id, n_match, doc_start, doc_end, item_words, similarity."""
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.select("doc_id", "text")
     schema = "doc_id long, item_id long, n_match long, doc_start long, doc_end long, item_words long, similarity double"
     passes = []
@@ -140,6 +143,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the rows that hold a passage of the benchmark; all their columns."""
+    small_batches(docs.sparkSession)
     for items in _slices(benchmark):
         docs = docs.filter(~_copies(docs.sparkSession.sparkContext.broadcast(Index(items)))("text"))
     return docs
