@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siteloom.llm.common import stored
+from siteloom.llm.common import small_batches, stored
 
 MIN_PAGES = 5
 #: Hosts whose templates a task holds at once; children of a node, after runs are joined, that are aligned in order.
@@ -356,6 +356,7 @@ def _extract(source: pd.Series, constant: pd.Series) -> pd.DataFrame:
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for every page. Catalyst broadcasts the templates only below its size limit."""
+    small_batches(pages.sparkSession)
     pages = pages.select("page_id", "url", "html")
     joined = pages.withColumn("host", host_of()).join(templates(pages), "host", "left")
     found = joined.withColumn("x", F.pandas_udf(_extract, "text string, n_chars long")("html", "constant"))

@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from siteloom.llm.common import small_batches
+
 DIMENSIONS = 1024
 SLOTS = 64  # letter vectors: 0 is the gap between words, 1-26 are a-z, other letters share the rest by a hash of their code point
 SEED = 20240229
@@ -70,6 +72,8 @@ def held_out(doc_id: str = "doc_id") -> Column:
 def learn(labelled: DataFrame) -> dict[str, np.ndarray]:
     """Prototypes from rows of (text, lang), all of them; to the driver come only languages x DIMENSIONS sums."""
 
+    small_batches(labelled.sparkSession)
+
     def profiles(batches):
         sums: dict[str, np.ndarray] = {}
         open_: dict[str, np.ndarray] = {}
@@ -116,6 +120,7 @@ def _exact(codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text", out: str = "language") -> DataFrame:
     """docs with a column `out`: struct of lang_pred and score (the cosine, 0 to 1)."""
+    small_batches(docs.sparkSession)
     langs = list(prototypes)
     matrix = np.stack(list(prototypes.values())) if langs else np.zeros((0, DIMENSIONS))
 

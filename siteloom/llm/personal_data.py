@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siteloom.llm.common import small_batches
+
 KINDS = ("email", "ip", "card", "phone", "uri", "account")
 BASE = KINDS[:4]
 CUES = ("iban", "account number", "account no", "acct", "passport", "ssn", "social security", "tax id", "national id")
@@ -139,12 +141,14 @@ def _masked(texts: pd.Series) -> pd.Series:
 
 def find_personal_data(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with a column `personal`: struct of counts, digest and spans."""
+    small_batches(docs.sparkSession)
     found = F.pandas_udf(_digest, "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
     return docs.withColumn("personal", found(F.col(text)))
 
 
 def mask_personal_data(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with every span of the text replaced by its kind in angle brackets."""
+    small_batches(docs.sparkSession)
     return docs.withColumn(text, F.pandas_udf(_masked, "string")(F.col(text)))
 
 

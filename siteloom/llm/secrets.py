@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siteloom.llm.common import small_batches
+
 KINDS = ("assign", "access", "hex", "model")
 MAX_LABELLED = 20_000
 CONTEXT, BODY, WIDTH, FILTERS = 24, 48, 5, 24
@@ -213,6 +215,7 @@ def _join(found) -> str:
 
 def find_secrets(docs: DataFrame, net: Network, text: str = "text") -> DataFrame:
     """docs with a column `secrets`: struct of counts, digest and spans."""
+    small_batches(docs.sparkSession)
 
     @F.pandas_udf("n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
     def digest(texts: pd.Series) -> pd.DataFrame:
