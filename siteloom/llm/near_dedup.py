@@ -23,7 +23,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
@@ -212,24 +212,34 @@ def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return links
 
 
+def _part() -> Column:
+    """The part of its bucket that a member is dealt to; a part has about BLOCK members."""
+    return F.pmod(F.xxhash64("k", F.lit(2)), F.ceil(F.col("size") / BLOCK))
+
+
+def _in_parts(buckets: DataFrame) -> DataFrame:
+    """Rows of buckets, once for each part, so that members join them without all of a large bucket in one task."""
+    return buckets.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("size") / BLOCK) - 1))).drop("size")
+
+
 def _meetings(member: DataFrame, label: DataFrame, about: DataFrame) -> DataFrame:
     """Rows (bucket, block, visit, side, k, comp, guest, band, mask, ...about) of the buckets with several components, sorted for _met.
 
     A bucket's members are dealt out in blocks. Those outside its main component are guests; they are dealt out as well, in
-    visits, and go to every block, which appears once for each visit.
+    visits of about BLOCK, and go to every block, which appears once for each visit.
     """
-    inside = stored(member.join(label, F.col("k") == F.col("id")).join(about.select("k"), "k").select("bucket", "band", "mask", "k", "comp"), "inside")
-    by_comp = inside.groupBy("bucket", "comp").agg(F.count("*").alias("c"))
+    inside = stored(member.join(label, F.col("k") == F.col("id")).join(about.select("k"), "k").select("bucket", "size", "band", "mask", "k", "comp"), "inside")
+    by_comp = inside.groupBy("bucket", "size", "comp").agg(F.count("*").alias("c"))
     main = (
-        by_comp.groupBy("bucket").agg(F.count("*").alias("comps"), F.sum("c").alias("size"), F.max_by("comp", F.struct("c", "comp")).alias("main"))
-        .filter("comps > 1").select("bucket", "main", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+        by_comp.groupBy("bucket", "size").agg(F.count("*").alias("comps"), F.sum("c").alias("members"), F.max("c").alias("own"), F.max_by("comp", F.struct("c", "comp")).alias("main"))
+        .filter("comps > 1").select("bucket", "size", "main", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"), F.ceil((F.col("members") - F.col("own")) / BLOCK).cast("int").alias("visits"))
     )
-    mixed = inside.join(main, "bucket").withColumn("guest", F.col("comp") != F.col("main"))
+    mixed = inside.withColumn("part", _part()).join(_in_parts(main), ["bucket", "part"]).withColumn("guest", F.col("comp") != F.col("main"))
     keep = ["bucket", "block", "visit", "side", "band", "mask", "k", "comp", "guest"]
-    guests = mixed.filter("guest").withColumn("visit", F.pmod(F.xxhash64("k", F.lit(1)), F.col("blocks")).cast("int"))
-    seats = guests.select("bucket", "visit").distinct()
+    guests = mixed.filter("guest").withColumn("visit", F.pmod(F.xxhash64("k", F.lit(1)), F.col("visits")).cast("int"))
+    seats = guests.select("bucket", "visit", "blocks").distinct().select("bucket", "visit", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     home = mixed.withColumn("block", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int")).withColumn("side", F.lit(0))
-    rows = home.join(seats, "bucket").select(keep).union(
+    rows = home.join(seats, ["bucket", "block"]).select(keep).union(
         guests.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("side", F.lit(1)).select(keep)
     )
     return rows.join(about, "k").repartition("bucket", "block", "visit").sortWithinPartitions("bucket", "block", "visit", "side")
@@ -268,10 +278,10 @@ def groups(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     release(shared)
 
     weight = member.groupBy("k").agg(F.sum(F.col("size") * F.col("times")).alias("weight"), F.sum(F.expr("shiftleft(1L, band)")).alias("mask"))
-    weighed = stored(member.join(weight, "k").select("bucket", "band", "k", "mask", "weight"), "weighed")
+    weighed = stored(member.join(weight, "k").select("bucket", "size", "band", "k", "mask", "weight"), "weighed")
     release(member)
-    hub = weighed.groupBy("bucket").agg(F.max_by("k", F.struct("weight", "k")).alias("hub"))
-    star = weighed.join(hub, "bucket").filter("hub <> k").groupBy("hub", F.col("k").alias("spoke")).count().select("hub", "spoke")
+    hub = weighed.groupBy("bucket", "size").agg(F.max_by("k", F.struct("weight", "k")).alias("hub"))
+    star = weighed.withColumn("part", _part()).join(_in_parts(hub), ["bucket", "part"]).filter("hub <> k").groupBy("hub", F.col("k").alias("spoke")).count().select("hub", "spoke")
     about = classes.select("k", "n", "bands")
     at_hub, at_spoke = (about.select(F.col("k").alias(x), F.col("n").alias(f"n_{x}"), F.col("bands").alias(f"b_{x}")) for x in ("hub", "spoke"))
     near = star.join(at_spoke, "spoke").join(at_hub, "hub").select("hub", "spoke", pandas_udf(_estimate, "double")("b_hub", "b_spoke", "n_hub", "n_spoke").alias("near"))
