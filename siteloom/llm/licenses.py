@@ -1,10 +1,11 @@
 """Licence notices by a positional index of rare words, in DataFrame expressions only.
 
-The index holds every word of the notices' templates, without stop words, with its postings (template, position). Words
-are ranked by inverse document frequency over all documents. Of each file the LOOKED_UP rarest index words are looked up;
-each occurrence and posting gives a template and the place where the template would begin. Places that two occurrences
-agree on are intersected postings; there the template's mandatory phrase is compared word by word. The score is the
-greatest part of a confirmed template's words that stand at their places.
+Words of the notices' templates, without stop words, are ranked by inverse document frequency over all documents. The
+index holds the KEY_WORDS rarest words of each template's mandatory phrase with their postings (template, position). They
+are looked up wherever they occur in a file; each occurrence and posting gives a template and the place where the template
+would begin. Places that two occurrences agree on are intersected postings; there the mandatory phrase is compared word by
+word. A phrase that stands in a file has all its words there, so no place is missed. The score is the greatest part of a
+confirmed template's words that stand at their places.
 
 Nulls and edge cases: a null or empty text has no word, no label and score 0; words are whole-text positions from 0;
 labels are distinct and in order; repeated rows are rows of their own; a null doc_id is returned; extra columns are not read.
@@ -38,7 +39,8 @@ TEMPLATES = (
     ("unlicense", "this is free and unencumbered software released into the public domain", "unencumbered software released into the public domain"),
 )
 STOP_WORDS = frozenset("a all and any are for has in into is of or the this to with without use under free 0 2 3 4 by person".split())
-LOOKED_UP = 8
+#: Words looked up for each template: as many as must agree on a place.
+KEY_WORDS = 2
 _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _SHIFT, _START = 1 << 40, 1 << 30  # a vote is template * _SHIFT + start of the template + _START, as one long
 
@@ -82,8 +84,10 @@ def _json(rows) -> str:
 def scan(docs: DataFrame, frequency: dict[str, int]) -> DataFrame:
     """doc_id with the contract's columns; frequency ranks the index words, rarest first."""
     ranked = sorted(INDEX, key=lambda w: (frequency[w], w))
-    rank = {w: k for k, w in enumerate(ranked)}
-    postings = [[t * _SHIFT + _START - p for t, (_, words, _) in enumerate(_SPLIT) for p, x in enumerate(words) if x == w] for w in ranked]
+    keyed = [[w for w in ranked if w in phrase][:KEY_WORDS] for _, _, phrase in _SPLIT]
+    looked_up = [w for w in ranked if any(w in k for k in keyed)]
+    rank = {w: k for k, w in enumerate(looked_up)}
+    postings = [[t * _SHIFT + _START - p for t, (_, words, _) in enumerate(_SPLIT) if w in keyed[t] for p, x in enumerate(words) if x == w] for w in looked_up]
     spots = lambda words, part: [{"at": k, "word": w} for k, w in enumerate(words)] if part is None else [{"at": next(i for i in range(len(words)) if words[i : i + len(part)] == part) + k, "word": w} for k, w in enumerate(part)]
 
     text = F.lower(F.coalesce(F.col("text"), F.lit("")))
@@ -96,13 +100,12 @@ def scan(docs: DataFrame, frequency: dict[str, int]) -> DataFrame:
     for k, phrase in enumerate(BASE):
         one = one.withColumn(f"p{k}", F.when(F.col("hint"), _places(F.col("w"), phrase.split())).otherwise(none))
     w = F.col("w")
-    hits = F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: F.get(w, i).isin(INDEX))
+    hits = F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: F.get(w, i).isin(looked_up))
     one = one.withColumn("hits", F.when(F.col("hint") & (F.size(w) > 0), hits).otherwise(none))
     ranks = _literal(rank, "map<string,int>")
     one = one.withColumn("hits", F.transform("hits", lambda i: F.struct(i.alias("i"), F.element_at(ranks, F.get(w, i)).alias("r"))))
-    one = one.withColumn("rare", F.slice(F.sort_array(F.array_distinct(F.transform("hits", lambda h: h["r"]))), 1, LOOKED_UP))
     posted = _literal(postings, "array<array<bigint>>")
-    votes = F.flatten(F.transform(F.filter("hits", lambda h: F.array_contains("rare", h["r"])), lambda h: F.transform(F.get(posted, h["r"]), lambda v: v + h["i"])))
+    votes = F.flatten(F.transform("hits", lambda h: F.transform(F.get(posted, h["r"]), lambda v: v + h["i"])))
     one = one.withColumn("votes", F.sort_array(votes))
     again = F.filter("votes", lambda v, i: (i > 0) & (v == F.get("votes", i - 1)))
     one = one.withColumn("aligned", F.array_distinct(again))

@@ -279,6 +279,19 @@ def test_license_templates(docs):
     assert "cc-by-nc" in got[73].labels.split(",") and got[60].labels == ""
 
 
+def test_license_files_with_many_notices(spark):
+    """Every template whose phrase stands in a file gives its label, however many notices the file holds."""
+    notices = [t for _, t, _ in licenses.TEMPLATES]
+    texts = [" ".join(notices), "\n".join(f"x {p} y" for _, _, p in licenses.TEMPLATES)]
+    texts += [f"{a}. {b}" for k, a in enumerate(notices) for b in notices[k + 1 :]]
+    got = {r.doc_id: r for r in licenses.license_labels(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for k, text in enumerate(texts):
+        w = f" {' '.join(re.findall('[a-z0-9]+', text))} "
+        want = {label for label, _, p in licenses.TEMPLATES if f" {p} " in w} | {label for p, label in licenses.BASE.items() if f" {p} " in w}
+        assert got[k].labels == ",".join(sorted(want)) and (k == 1 or got[k].score == 1.0)
+    assert len(got[0].labels.split(",")) == len({label for label, _, _ in licenses.TEMPLATES} | set(licenses.BASE.values()))
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(1)
     rows = [(i, [float(x) for x in rng.normal(size=8) * 0.2], i % 3) for i in range(400)]
