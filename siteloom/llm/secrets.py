@@ -1,8 +1,9 @@
 """Secrets: base patterns, and a character convolutional network over every other candidate with its context.
 
-A candidate is a run of 16 or more key characters with a letter and a digit. The network reads CONTEXT characters on both
-sides and up to BODY of the candidate, in classes of characters: an embedding convolution of width 5, rectifier, maximum
-over places, logistic output. It is trained with numpy on labelled findings: those given, at most MAX_LABELLED rows, or
+A candidate is a run of 16 or more key characters with a letter and a digit. The network reads BODY characters of it and
+CONTEXT on both sides, in classes of characters: an embedding convolution of width 5, rectifier, maximum over places,
+logistic output. A longer candidate is read whole, in windows of BODY characters that begin every STEP, and has the highest
+of their scores; so any key of up to BODY - STEP characters lies in one window. It is trained with numpy on labelled findings: those given, at most MAX_LABELLED rows, or
 else a set made by a rule. On a held-out third its outputs are calibrated (Platt scaling), and the threshold is the
 highest one that still finds RECALL of the secrets. Base spans stay; the network adds candidates that overlap none.
 
@@ -17,7 +18,7 @@ import random
 import re
 from bisect import bisect_left
 from dataclasses import dataclass
-from itertools import accumulate
+from itertools import accumulate, islice
 
 import numpy as np
 import pandas as pd
@@ -28,7 +29,9 @@ from siteloom.llm.common import small_batches
 
 KINDS = ("assign", "access", "hex", "model")
 MAX_LABELLED = 20_000
-CONTEXT, BODY, WIDTH, FILTERS = 24, 48, 5, 24
+CONTEXT, BODY, STEP, WIDTH, FILTERS = 24, 48, 8, 5, 24
+#: Windows scored at once.
+WINDOWS = 512
 RECALL = 0.98
 
 _ASSIGN = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
@@ -86,6 +89,11 @@ def window(text: str, a: int, b: int) -> np.ndarray:
     return row
 
 
+def places(a: int, b: int) -> list[tuple[int, int]]:
+    """The windows of a candidate, as (start, end); the last one ends with it."""
+    return [(a, b)] if b - a <= BODY else [(k, k + BODY) for k in (*range(a, b - BODY, STEP), b - BODY)]
+
+
 @dataclass
 class Network:
     kernel: np.ndarray  # WIDTH x CLASSES x FILTERS
@@ -109,6 +117,14 @@ class Network:
     def scores(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.scale[0] * self.logits(x) + self.scale[1], -30, 30)))
 
+    def best(self, text: str, found: list[tuple[int, int]]) -> np.ndarray:
+        """The highest score over the windows of each candidate (start, end)."""
+        best = np.zeros(len(found))
+        each = ((k, *w) for k, (a, b) in enumerate(found) for w in places(a, b))
+        while part := list(islice(each, WINDOWS)):
+            np.maximum.at(best, [k for k, _, _ in part], self.scores(np.stack([window(text, a, b) for _, a, b in part])))
+        return best
+
     def fit(self, x: np.ndarray, y: np.ndarray, rounds: int = 30, step: float = 0.05, seed: int = 7) -> None:
         rng = np.random.default_rng(seed)
         after = np.r_[0:CONTEXT, CONTEXT + BODY - WIDTH + 1 : x.shape[1] - WIDTH + 1]
@@ -132,15 +148,17 @@ class Network:
                     np.add.at(self.kernel[k], b[:, CONTEXT + k : CONTEXT + k + length], -step * 10 * spread)
                 self.bias -= step * 10 * (back[:, :FILTERS] + back[:, FILTERS : 2 * FILTERS] + back[:, 2 * FILTERS :]).sum(0)
 
-    def calibrate(self, x: np.ndarray, y: np.ndarray) -> None:
-        z = self.logits(x)
+    def calibrate(self, findings: list[tuple[str, int, int, int]]) -> None:
+        """On the highest output over the windows of each finding, as best() decides."""
+        y = np.array([f[3] for f in findings], float)
+        z = np.array([self.logits(np.stack([window(t, *w) for w in places(a, b)])).max() for t, a, b, _ in findings])
         a, b = 1.0, 0.0
         for _ in range(500):
             p = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30)))
             a -= 0.1 * float(((p - y) * z).mean())
             b -= 0.1 * float((p - y).mean())
         self.scale = (a, b)
-        found = np.sort(self.scores(x)[y == 1])
+        found = np.sort(np.concatenate([self.best(t, [(a, b)]) for t, a, b, _ in findings])[y == 1])
         self.threshold = float(max(0.5, found[int((1 - RECALL) * len(found))])) if len(found) else 0.5
 
 
@@ -180,13 +198,14 @@ def made_findings(n: int = 1500, seed: int = 11) -> list[tuple[str, int, int, in
 
 def train(findings: list[tuple[str, int, int, int]]) -> Network:
     """A calibrated network from (text, start, end, label); every third row is held out for calibration."""
-    x = np.stack([window(t, a, b) for t, a, b, _ in findings])
-    y = np.array([f[3] for f in findings], float)
+    held = [f for k, f in enumerate(findings) if k % 6 >= 4]
+    learned = [(*f[:1], *w, f[3]) for k, f in enumerate(findings) if k % 6 < 4 for w in places(f[1], f[2])]
+    x = np.stack([window(t, a, b) for t, a, b, _ in learned])
+    y = np.array([f[3] for f in learned], float)
     rng = np.random.default_rng(5)
     net = Network(rng.normal(0, 0.1, (WIDTH, CLASSES, FILTERS)), np.zeros(FILTERS), rng.normal(0, 0.1, 3 * FILTERS + 1))
-    held = np.arange(len(x)) % 6 >= 4
-    net.fit(x[~held], y[~held])
-    net.calibrate(x[held], y[held])
+    net.fit(x, y)
+    net.calibrate(held)
     return net
 
 
@@ -201,10 +220,7 @@ def spans(text: str | None, net: Network) -> list[tuple[str, int, int]]:
     text = text or ""
     found = base_spans(text)
     rest = list(candidates(text, found))
-    for at in range(0, len(rest), 512):
-        part = rest[at : at + 512]
-        scores = net.scores(np.stack([window(text, a, b) for a, b in part]))
-        found += [("model", a, b) for (a, b), s in zip(part, scores, strict=True) if s >= net.threshold]
+    found += [("model", a, b) for (a, b), s in zip(rest, net.best(text, rest), strict=True) if s >= net.threshold]
     found.sort(key=lambda s: (s[1], KINDS.index(s[0])))
     return found
 

@@ -155,6 +155,24 @@ def test_secret_network():
     assert (scores >= net.threshold)[label == 1].mean() > 0.93
 
 
+def test_secret_network_reads_whole_candidates():
+    """A key anywhere in a long candidate is found, every character is in a window, and long paths alone are harmless."""
+    for n in (16, 48, 49, 56, 57, 300):
+        at = secrets.places(7, 7 + n)
+        assert {k for a, b in at for k in range(a, b)} == set(range(7, 7 + n)) and max(b - a for a, b in at) <= secrets.BODY
+    net = secrets.train(secrets.made_findings())
+    rng = np.random.default_rng(4)
+    some = lambda chars, k: "".join(rng.choice(list(chars), k))
+    low = "abcdefghijklmnopqrstuvwxyz"
+    found = {True: 0, False: 0}
+    for k in range(100):
+        words = [some(low, rng.integers(3, 9)) for _ in range(20)]
+        for key in (True, False):
+            words[10 + k % 9] = some(low + low.upper() + "0123456789", 40) if key else f"part{k}"
+            found[key] += any(kind == "model" for kind, _, _ in secrets.spans(f"see {'/'.join(words)} on", net))
+    assert found[True] >= 95 and found[False] <= 5
+
+
 def _personal_base(t):
     t = t or ""
     found = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
