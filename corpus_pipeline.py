@@ -12,10 +12,10 @@ from siteloom.llm import decontaminate, language_id, line_dedup, mixing, near_de
 from siteloom.llm.common import stored
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters, or without any likeness to a language learned (no positive cosine), go."""
-    found = language_id.identify(docs, language_id.fit(docs), out="__language")
-    sure = (F.col("__language.lang_pred") != language_id.UNKNOWN) & (F.col("__language.score") > 0)
-    return found.filter(sure).drop("__language")
+    """Documents without letters, or whose likeness to every language learned is no more than noise, go."""
+    prototypes = language_id.fit(docs)
+    least = language_id.least_scores(language_id.training(docs), prototypes)
+    return language_id.identify(docs, prototypes, out="__language").filter(language_id.is_like("__language", least)).drop("__language")
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -25,6 +25,11 @@ SEED = 20240229
 #: Languages whose n-gram counts a task holds at once (2 MB each).
 OPEN_LANGUAGES = 32
 UNKNOWN = "und"
+#: Cosines of unlike texts scatter by NOISE whatever their length: none is a likeness up to twice that, any from four times on.
+NOISE = DIMENSIONS**-0.5
+CLEAR = 4 * NOISE
+#: The part of the training texts of a size that may have less likeness than a text of that size must have; texts that tell.
+LEAST, ENOUGH = 0.001, 10
 
 _tables: list = []
 
@@ -119,32 +124,68 @@ def _exact(codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text", out: str = "language") -> DataFrame:
-    """docs with a column `out`: struct of lang_pred and score (the cosine, 0 to 1)."""
+    """docs with a column `out`: struct of lang_pred, score (the cosine, 0 to 1) and n (different n-grams of the text)."""
     small_batches(docs.sparkSession)
     langs = list(prototypes)
     matrix = np.stack(list(prototypes.values())) if langs else np.zeros((0, DIMENSIONS))
 
-    @pandas_udf("lang_pred string, score double")
+    @pandas_udf("lang_pred string, score double, n long")
     def predict(texts: pd.Series) -> pd.DataFrame:
         found = []
         for t in texts:
             codes, counts = np.unique(ngrams(t), return_counts=True)
             if not len(codes) or not langs:
-                found.append((UNKNOWN, 0.0))
+                found.append((UNKNOWN, 0.0, len(codes)))
                 continue
             v = bundle(codes, counts)
             near = matrix @ v / max(np.linalg.norm(v), 1e-12)
             best = int(near.argmax())
-            found.append((langs[best], float(min(1.0, max(0.0, near[best])))))
-        return pd.DataFrame(found, columns=["lang_pred", "score"])
+            found.append((langs[best], float(min(1.0, max(0.0, near[best]))), len(codes)))
+        return pd.DataFrame(found, columns=["lang_pred", "score", "n"])
 
     return docs.withColumn(out, predict(F.col(text)))
 
 
+def training(docs: DataFrame) -> DataFrame:
+    """text and lang of all documents that are not held out."""
+    return docs.filter(F.col("doc_id").isNotNull() & ~held_out()).select("text", "lang")
+
+
 def fit(docs: DataFrame) -> dict[str, np.ndarray]:
     """Prototypes from all documents that are not held out; only text and lang are learned from."""
-    known = F.col("doc_id").isNotNull() & ~held_out()
-    return learn(docs.filter(known).select("text", "lang"))
+    return learn(training(docs))
+
+
+def _size(found: str) -> Column:
+    return F.floor(F.log2(F.greatest(F.col(f"{found}.n"), F.lit(1)))).cast("int")
+
+
+def least_scores(labelled: DataFrame, prototypes: dict[str, np.ndarray]) -> dict[int, float]:
+    """For each size of text (powers of two of its different n-grams) the least score of a likeness, from all rows of (text, lang).
+
+    It is CLEAR, or for texts too short to reach that always, the LEAST quantile of the scores of the training texts. Sizes
+    with less than ENOUGH of them are taken with the smaller ones; with less than 1 / LEAST, NOISE is left as slack.
+    """
+    found = identify(labelled.filter("text IS NOT NULL AND lang IS NOT NULL"), prototypes, out="__found")
+    found = found.filter(F.col("__found.lang_pred") != UNKNOWN).groupBy(_size("__found").alias("size"))
+    low = F.percentile_approx("__found.score", LEAST, 10_000).alias("low")
+    rows = {r["size"]: r for r in found.agg(F.count("*").alias("n"), low).collect()}  # one row for each size
+    least = {}
+    for size in range(SLOTS.bit_length() * 3):
+        n, score = 0, CLEAR
+        for k in range(size, -1, -1):
+            if k in rows and n < ENOUGH:
+                n, score = n + rows[k]["n"], min(score, rows[k]["low"] - (NOISE if rows[k]["n"] < 1 / LEAST else 0))
+        least[size] = max(score, 2 * NOISE) if n else 2 * NOISE
+    return least
+
+
+def is_like(found: str, least: dict[int, float]) -> Column:
+    """Whether the struct `found` of identify() is a likeness to a learned language."""
+    limit = F.lit(CLEAR)
+    for size, score in sorted(least.items()):
+        limit = F.when(_size(found) == size, F.lit(score)).otherwise(limit)
+    return (F.col(f"{found}.lang_pred") != UNKNOWN) & (F.col(f"{found}.score") > 0) & (F.col(f"{found}.score") >= limit)
 
 
 def language_of_documents(docs: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
+import numpy as np
 import test_operators as brute
 
 
@@ -31,3 +32,20 @@ def test_stages_keep_other_columns(spark, sf):
         out = stage(spark, docs, sf)
         assert out.columns == docs.columns and out.count() > 0
         assert stage(spark, docs.limit(0), sf).count() == 0
+
+
+def test_language_stage_drops_unlearned_scripts(spark, sf):
+    """Texts in scripts or letters never learned go; documents of the corpus stay, and short pieces of them as well."""
+    rng = np.random.default_rng(6)
+    scripts = [range(0x430, 0x450), range(0x3B1, 0x3CA), range(0x4E00, 0x9000), range(0xAC00, 0xD7A0), range(0x627, 0x64A), range(0xE01, 0xE2F)]
+    word = lambda s: "".join(map(chr, rng.choice(list(s), rng.integers(2, 9))))
+    foreign = [" ".join(word(s) for _ in range(200)) for s in scripts for _ in range(40)]
+    table = spark.read.parquet(f"{sf}/documents.parquet")
+    texts = [r.text for r in table.select("text").collect()]
+    short = [" ".join(t.split()[2:17]) for t in texts if t and len(t.split()) > 40][:300]
+    rows = [(10**6 + 4 * k, t, None, "a", len(t)) for k, t in enumerate(foreign)] + [(2 * 10**6 + k, t, None, "a", len(t)) for k, t in enumerate(short)]
+    added = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = [r.doc_id for r in corpus_pipeline.language_stage(spark, table.select(added.columns).union(added), sf).select("doc_id").collect()]
+    assert sum(k < 10**6 for k in kept) == len(texts)
+    assert sum(10**6 <= k < 2 * 10**6 for k in kept) == 0
+    assert sum(k >= 2 * 10**6 for k in kept) >= 0.98 * len(short)
