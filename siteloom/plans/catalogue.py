@@ -267,7 +267,7 @@ _add("pagination_discard", "SELECT id FROM p WHERE isSkipped = 0 AND status BETW
 def _frontier(a, s, d):
     from siteloom.sources.scratch import kept
 
-    edges = a["anchors"].filter("id % 5 < 2").select(F.col("pageId").alias("src"), F.col("hrefId").alias("dst"))
+    edges = a["anchors"].select(F.col("pageId").alias("src"), F.col("hrefId").alias("dst"))
     return crawl.reachable(s.range(1), edges, kept).select("id")
 
 
