@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from html.parser import HTMLParser
+from urllib.parse import urljoin
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -32,16 +33,6 @@ def lang(html: Column) -> Column:
     return F.regexp_extract(html, r"""(?is)<html[^>]*\slang\s*=\s*["']?([^"'\s>]*)""", 1)
 
 
-def anchors(pages: DataFrame) -> DataFrame:
-    """page_id, pos, href (resolved against the page) and text of every link, by patterns; see dom() for nested markup."""
-    found = F.regexp_extract_all("html", F.lit(r"(?is)<a [^>]*href=\"([^\"]*)\"[^>]*>[^<]*</a>"), F.lit(1))
-    texts = F.regexp_extract_all("html", F.lit(r"(?is)<a [^>]*href=\"[^\"]*\"[^>]*>([^<]*)</a>"), F.lit(1))
-    base = F.regexp_extract("url", "^([a-z]+://[^/?#]*)", 1)
-    each = pages.select("page_id", base.alias("base"), F.posexplode(F.arrays_zip(found.alias("href"), texts.alias("text"))).alias("pos", "a"))
-    href = F.when(F.col("a.href").startswith("/"), F.concat("base", "a.href")).otherwise(F.col("a.href"))
-    return each.select("page_id", "pos", href.alias("href"), F.col("a.text").alias("text"))
-
-
 class Element:
     def __init__(self, tag: str, attrs: dict[str, str], parent: Element | None, source: str = ""):
         self.tag, self.attrs, self.parent, self.source, self.children = tag, attrs, parent, source, []
@@ -200,6 +191,44 @@ def images(root: Element) -> list[dict]:
     ]
 
 
+def links(root: Element) -> list[tuple[str, str]]:
+    """href and text of every a and area with a href, in document order; text belongs to the nearest link around it."""
+    out: list[tuple[str, list[str]]] = []
+    todo: list = [(root, None)]
+    while todo:
+        e, link = todo.pop()
+        if isinstance(e, str):
+            if link:
+                link[1].append(e)
+        elif e.tag not in ("script", "style"):
+            if e.tag in ("a", "area") and "href" in e.attrs:
+                link = (e.attrs["href"], [])
+                out.append(link)
+            todo += [(c, link) for c in reversed(e.children)]
+    return [(href, "".join(text)) for href, text in out]
+
+
+def resolved(url: str | None, href: str) -> str:
+    """href against the page's address; as it stands if it is no address."""
+    try:
+        return urljoin(url or "", href.strip())
+    except ValueError:
+        return href
+
+
+def anchors(pages: DataFrame) -> DataFrame:
+    """page_id, pos, href (resolved against the page) and text of every link, from the DOM."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for i, url, source in zip(batch["page_id"], batch["url"], batch["html"], strict=True):
+                out += [(i, pos, resolved(url, href), text) for pos, (href, text) in enumerate(links(dom(source)))]
+            yield pd.DataFrame(out, columns=["page_id", "pos", "href", "text"])
+
+    return pages.select("page_id", "url", "html").mapInPandas(run, "page_id long, pos int, href string, text string")
+
+
 def remove_spaces(text: str | None) -> str | None:
     return re.sub(JS_SPACE, "", text or "") or None
 

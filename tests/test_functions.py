@@ -153,3 +153,16 @@ def test_archive_round_trip(spark, tmp_path):
     assert set(read_archive(spark, str(tmp_path / "a"))) == {"pages"}
     (tmp_path / "list.txt").write_text(" https://e.com/ \n\nhttps://f.com/\n")
     assert sorted(r.url for r in url_list(spark, str(tmp_path / "list.txt")).collect()) == ["https://e.com/", "https://f.com/"]
+
+
+def test_anchors_of_any_form(spark):
+    from siteloom.functions import pages
+
+    source = """<a href="/a"><img src=x></a><a href='/b'>one <b>two</b></a><a href=c?x=1&amp;y=2>bare</a><map><area href="//o.example/d" alt=z></map>
+<A class=k HREF="http://p.example/e">T &lt; U</A><a name=n>no link</a><script>"<a href='/no'>x</a>"</script><!-- <a href="/no">x</a> -->"""
+    table = spark.createDataFrame([(1, "https://h.example/dir/p", source), (2, None, None)], "page_id long, url string, html string")
+    got = sorted((r.pos, r.href, r.text) for r in pages.anchors(table).collect())
+    assert got == [
+        (0, "https://h.example/a", ""), (1, "https://h.example/b", "one two"), (2, "https://h.example/dir/c?x=1&y=2", "bare"),
+        (3, "https://o.example/d", ""), (4, "http://p.example/e", "T < U"),
+    ]
