@@ -91,21 +91,62 @@ def _html(article, extra=""):
 
 def test_html_text(spark):
     page = "<article><h1>Head &amp; more</h1><p><b>Lead<br>line<p>One  two\n three.</p><script>var t='</p>';</script><section id='comments'>nice!</section></article>"
-    rows = [(k, f"http://h.example/{k}", _html(page.replace("One", f"One{k}"), '<div class="cookie-notice">We use cookies</div>'), 1) for k in range(8)]
-    rows += [(20, "http://h.example/cut", _html(page)[:150], 1), (21, None, None, 1), (22, "http://h.example/e", "", 1)]
+    rows = [(k, f"http://h.example/{k}", _html(page.replace("One", f"One{k}").replace("Head", f"Head {k}").replace("Lead", f"Lead {k}"), '<div class="cookie-notice">We use cookies</div>'), 1) for k in range(8)]
+    rows += [(20, "http://cut.example/", _html(page)[:150], 1), (21, None, None, 1), (22, "http://h.example/e", "", 1), (None, "http://n.example/", "<p>no id</p>", 1)]
     rows += [(30 + k, f"http://plain.example/{k}", f"<body><div id='menu'>m</div><div><p>Body {k}</p><h6>same for all</h6></div><form>f</form>", 1) for k in range(7)]
     rows += [(40, "http://long.example/", _html("<article>" + "<p>x y</p>" * 50_000 + "</article>"), 1), (0, rows[0][1], rows[0][2], 1)]
     found = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text int")).collect()
     assert len(found) == len(rows)
     got = {r.page_id: r.text for r in found}
-    assert got[3] == "Head & more\n\nLead line\n\nOne3 two three."
-    assert got[20] in ("", "Head & more", "Head & m", "Head")
-    assert got[21] == got[22] == ""
+    assert got[3] == "Head 3 & more\n\nLead 3 line\n\nOne3 two three."
+    assert got[20] == "Head & more"
+    assert got[21] == got[22] == "" and got[None] == "no id"
     assert got[31] == "Body 1"
     assert got[40] == "\n\n".join(["x y"] * 50_000)
     assert all(r.n_chars == len(r.text) for r in found)
 
 
+def _texts_of(spark, pages, parts=3):
+    table = spark.createDataFrame([(k, "http://one.example/", p) for k, p in enumerate(pages)], "page_id long, url string, html string").repartition(parts)
+    return {r.page_id: r.text for r in html_text.extract(table).collect()}
+
+
+def test_templates_decide_without_names(spark):
+    """Pages without main, article or telling names, of several layouts: what varies is the text, however rows are dealt out."""
+    rng = np.random.default_rng(12)
+    some = lambda n: " ".join("".join(rng.choice(list("abcdefgh"), rng.integers(2, 9))) for _ in range(n))
+    pages, want = [], []
+    for k in range(60):
+        paragraphs = [some(rng.integers(5, 30)) for _ in range(rng.integers(1, 6))]
+        body = "".join(f"<p>{p}</p>" + ("<p>Read our terms</p>" if k % 2 else "") for p in paragraphs)
+        left = f"<td><a href='/{k}'>{some(2)}</a> <a href='/'>{some(2)}</a></td>"
+        top = "<div>Our shop is open every day of the week</div>" + ("<div>Season sale</div>" if k % 3 else "")
+        pages.append(f"<body>{top}<table><tr>{left}</tr></table><div><div><h2>{some(3)} {k}</h2>{body}</div></div><div>All prices in one currency, as agreed</div>")
+        want.append("\n\n".join([pages[-1].split("<h2>")[1].split("</h2>")[0], *paragraphs]))
+    first = _texts_of(spark, pages)
+    assert [first[k] for k in range(60)] == want
+    assert _texts_of(spark, pages, 7) == first
+    alone = html_text.Wrapper(html_text.written(html_text.blocks(html_text.parse(pages[1]))[0]), range(30))
+    assert alone.text(pages[1]) != first[1]
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<body><div><p>same notice</p></div><div><p>own text {}</p></div>", "own text {}"),
+        ("<article><p>own text {}</p><p>same advert</p></article>", "own text {}"),
+        ("<article><p>own text {}, and of some length</p><div id='text-ad'>buy {}</div><div class='content-header'>on {}</div></article>", "own text {}, and of some length"),
+        ("<div class='elementor-widget elementor-widget-text-editor'><p>own text {}</p></div><div>same</div>", "own text {}"),
+        ("<form action='/'><div>same</div><div><p>own text {}</p></div><input value='{}'></form>", "own text {}"),
+        ("<main><h1>own title {}</h1><p>own text {}</p><ul><li><a href='/{}'>other page {}</a></ul></main><div><p>teaser {}</p></div>", "own title {}\n\nown text {}"),
+        ("<div><p>own text {}</p>" + "<div>" * 3000 + "<script>var leak=1;</script><nav>menu {}</nav><p>deep {}" + "</div>" * 3000 + "</div>", "own text {}\n\ndeep {}"),
+    ],
+)
+def test_html_layouts(spark, page, want):
+    got = _texts_of(spark, [page.replace("{}", str(100 + k)) for k in range(12)])
+    assert got == {k: want.replace("{}", str(100 + k)) for k in range(12)}
+
+
 def test_html_text_of_corpus(spark, sf):
     import html
 
@@ -121,11 +162,39 @@ def test_html_text_of_corpus(spark, sf):
 
 
 def test_simple_tree_matching():
-    a, b = html_text.page_tree(html_text.parse("<ul><li>a<li>b</ul><p>x")), html_text.page_tree(html_text.parse("<h1>t</h1><ul><li>c</ul><p>x"))
-    assert html_text.match(a, b) == 4  # the root, ul, li and p
-    whole = html_text.merge(a, b)
-    assert [c[0] for c in whole[3]] == ["h1", "ul", "p"] and whole[1] == 2
-    assert whole[3][2][2] != html_text.VARIES and whole[3][1][3][0][2] == html_text.VARIES
+    a, b = (html_text.blocks(html_text.parse(x))[0] for x in ("<ul><li>a<li>b</ul><p>x", "<h1>t</h1><ul><li>c</ul><p>x"))
+    assert html_text.match(a, b, {}) == 4  # the root, ul, li and p
+    whole = html_text.merged(a, b)
+    assert [c.key for c in whole.kids] == ["h1", "ul", "p"]
+    assert html_text.written(html_text.read(html_text.written(whole))[0]) == html_text.written(whole)
+    wide = html_text.blocks(html_text.parse("".join(f"<div class='{chr(97 + k % 26) * (1 + k // 26)}'>x</div>" for k in range(300))))[0]
+    assert len(html_text.merged(wide, wide).kids) == 300
+
+
+def test_trees_are_matched_as_brute_force_does():
+    """The dynamic program against the greatest matching found by trying every pair of child lists."""
+
+    def most(a, b):
+        if a.key != b.key:
+            return 0
+
+        def best(x, y):
+            if not x or not y:
+                return 0
+            return max(best(x[1:], y), best(x, y[1:]), most(x[0], y[0]) + best(x[1:], y[1:]) if x[0].key == y[0].key else 0)
+
+        return 1 + best(a.kids, b.kids)
+
+    rng = np.random.default_rng(5)
+
+    def tree(depth):
+        part = html_text.Part(str(rng.integers(2)) if depth < 3 else "r")
+        part.kids = [tree(depth - 1) for _ in range(rng.integers(0, 4))] if depth else []
+        return part
+
+    for _ in range(60):
+        a, b = tree(3), tree(3)
+        assert html_text.match(a, b, {}) == most(a, b)
 
 
 def _secret_base(t):
