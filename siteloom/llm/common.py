@@ -23,12 +23,14 @@ _made: dict[str, str] = {}
 def scratch(spark: SparkSession) -> str:
     """A folder of this application under spark.checkpoint.dir, which every executor can read.
 
-    Only where the setting is absent (a bare local session) is a folder made and set.
+    Only a session of one machine (a local master) may lack the setting: it gets a folder of its own.
     """
     sc = spark.sparkContext
     if sc.applicationId not in _made:
         base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
         if not base:
+            if not sc.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             base = tempfile.mkdtemp(prefix="checkpoint-")
             sc.setCheckpointDir(base)
         path = f"{base.rstrip('/')}/siteloom-{uuid.uuid4().hex}"
@@ -69,6 +71,14 @@ def release(*tables: DataFrame) -> None:
         _remove(table.sparkSession, table.scratch_path)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """name, or name with underscores before it if df has such a column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def id_or_null(name: str = "doc_id") -> Column:
     return F.coalesce(F.col(name).cast("long"), F.lit(NULL_ID))
 

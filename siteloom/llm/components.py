@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siteloom.llm.common import stored
+from siteloom.llm.common import release, stored
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -16,15 +16,20 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         total = label.agg(F.sum(F.col("comp").cast("decimal(38,0)"))).first()[0]
         if total == before:
+            release(both)
             return label
         before = total
         near = both.join(label, F.col("b") == F.col("id")).groupBy("a").agg(F.min("comp").alias("comp"))
         least = label.union(near.select("a", "comp")).groupBy("id").agg(F.min("comp").alias("comp"))
-        up = label.select(F.col("id").alias("comp"), F.col("comp").alias("up"))
-        label = stored(least.join(up, "comp", "left").select("id", F.least("comp", "up").alias("comp")), "label")
+        up = label.filter("id <> comp").select(F.col("id").alias("comp"), F.col("comp").alias("up"))  # roots stay roots
+        label, old = stored(least.join(up, "comp", "left").select("id", F.coalesce("up", "comp").alias("comp")), "label"), label
+        release(old)
 
 
 def merged(label: DataFrame, edges: DataFrame) -> DataFrame:
-    """label (id, comp) after more edges (a, b) between comps."""
-    more = components(edges).select(F.col("id").alias("comp"), F.col("comp").alias("up"))
-    return stored(label.join(more, "comp", "left").select("id", F.coalesce("up", "comp").alias("comp")), "label")
+    """label (id, comp) after more edges (a, b) between comps; label itself is gone."""
+    found = components(edges)
+    more = found.filter("id <> comp").select(F.col("id").alias("comp"), F.col("comp").alias("up"))
+    new = stored(label.join(more, "comp", "left").select("id", F.coalesce("up", "comp").alias("comp")), "label")
+    release(label, found)
+    return new

@@ -15,7 +15,8 @@
 
 Nulls and edge cases: a null text or one without words has an empty set, links with nothing and stays; with fewer words
 than a shingle the whole sequence is the one shingle; a null doc_id takes part but is never a component's id unless the
-component has no other; repeated rows are one class; extra columns are not read.
+component has no other; repeated rows are one class, and so are rows of different ids or none with equal sets; one id may
+stand for several texts, each of which is in its own group; extra columns are not read, and pass through one_of_each.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from siteloom.llm.common import hash_words, id_or_null, mix, release, runs, stored, whole_groups
+from siteloom.llm.common import NULL_ID, hash_words, id_or_null, mix, release, runs, stored, unused, whole_groups
 from siteloom.llm.components import components, merged
 
 BANDS, PER_BAND = 32, 4
@@ -72,11 +73,11 @@ def _signatures(width):
     def run(batches):
         for batch in batches:
             out = []
-            for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
+            for text in batch["text"]:
                 s = shingles(text, width)
                 k = xxhash.xxh3_64_intdigest(s.tobytes()) - 2**63 if len(s) else None
-                out.append((doc, len(s), k, sketch(s).view(np.int64) if len(s) else None))
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n": [x[1] for x in out], "k": pd.array([x[2] for x in out], "Int64"), "bands": [x[3] for x in out]})
+                out.append((len(s), k, sketch(s).view(np.int64) if len(s) else None))
+            yield pd.DataFrame({"doc": batch["doc"], "t": batch["t"], "n": [x[0] for x in out], "k": pd.array([x[1] for x in out], "Int64"), "bands": [x[2] for x in out]})
 
     return run
 
@@ -250,22 +251,23 @@ def _sets(width):
         for batch in batches:
             out = []
             for k, text in zip(batch["k"], batch["text"], strict=True):
-                raw = shingles(text, width).tobytes()
-                if xxhash.xxh3_64_intdigest(raw) - 2**63 == k:  # a doc_id may stand for several texts
-                    out.append((k, raw))
+                out.append((k, shingles(text, width).tobytes()))
             yield pd.DataFrame(out, columns=["k", "hashes"])
 
     return run
 
 
-def groups(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """One row for each document: doc_id, n_shingles, class_id (the smallest doc_id with an equal set) and component_id."""
-    signed = stored(
-        docs.select("doc_id", "text").mapInPandas(_signatures(width), "doc_id long, n long, k long, bands array<bigint>"), "signatures"
-    )
+def _texts(docs: DataFrame) -> DataFrame:
+    """(doc, t, text): id and text hash, which tell texts apart whatever ids are null or repeated."""
+    return docs.select(id_or_null().alias("doc"), F.xxhash64("text").alias("t"), "text")
+
+
+def _grouped(docs: DataFrame, width: int) -> DataFrame:
+    """One row for each row of docs: doc, t, n, and class_id and comp_id, which are null for an empty set; k, the class."""
+    signed = stored(_texts(docs).mapInPandas(_signatures(width), "doc long, t long, n long, k long, bands array<bigint>"), "signatures")
     classes = stored(
         signed.filter("k IS NOT NULL").groupBy("k")
-        .agg(F.min(id_or_null()).alias("rep"), F.min("doc_id").alias("least"), F.min("n").alias("n"), F.first("bands").alias("bands")),
+        .agg(F.min(F.struct("doc", "t")).alias("rep"), F.min(F.when(F.col("doc") != NULL_ID, F.col("doc"))).alias("least"), F.min("n").alias("n"), F.first("bands").alias("bands")),
         "classes",
     )
     banded = classes.select("k", F.posexplode("bands").alias("band", "value")).filter("value <> 0")
@@ -287,11 +289,10 @@ def groups(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     near = star.join(at_spoke, "spoke").join(at_hub, "hub").select("hub", "spoke", pandas_udf(_estimate, "double")("b_hub", "b_spoke", "n_hub", "n_spoke").alias("near"))
     first = stored(near.filter("near IS NOT NULL").groupBy("spoke").agg(F.max_by("hub", F.struct("near", "hub")).alias("hub")), "first")
 
-    texts = docs.select(id_or_null().alias("doc"), "text")
-
     def sets_of(ks: DataFrame) -> DataFrame:
-        wanted = classes.join(ks, "k", "left_semi").select("k", F.col("rep").alias("doc"))
-        return stored(texts.join(wanted, "doc").select("k", "text").mapInPandas(_sets(width), "k long, hashes binary"), "sets")
+        wanted = classes.join(ks, "k", "left_semi").select("k", "rep.doc", "rep.t")
+        once = _texts(docs).join(wanted, ["doc", "t"]).groupBy("k").agg(F.first("text").alias("text"))  # a row may be repeated
+        return stored(once.mapInPandas(_sets(width), "k long, hashes binary"), "sets")
 
     sets = sets_of(first.select(F.col("hub").alias("k")).union(first.select("spoke")).distinct())
     label = stored(weighed.select(F.col("k").alias("id")).distinct().withColumn("comp", F.col("id")), "label")
@@ -315,11 +316,19 @@ def groups(docs: DataFrame, width: int = WIDTH) -> DataFrame:
             tested = tested.union(pairs)
         release(sets, about)
 
-    whole = classes.join(label, F.col("k") == F.col("id"), "left").select("k", "least", F.coalesce("comp", "k").alias("comp"))
-    ids = whole.groupBy("comp").agg(F.min("least").alias("component_id"))
-    of_class = whole.join(ids, "comp").select("k", F.col("least").alias("class_id"), "component_id")
-    own = lambda name: F.when(F.col("k").isNull(), F.col("doc_id")).otherwise(F.col(name)).alias(name)
-    return signed.select("doc_id", F.col("n").alias("n_shingles"), "k").join(of_class, "k", "left").select("doc_id", "n_shingles", own("class_id"), own("component_id"))
+    # written before they are joined by component, so that the join may split the rows of a large component
+    whole = stored(classes.join(label, F.col("k") == F.col("id"), "left").select("k", "least", F.coalesce("comp", "k").alias("comp")), "whole")
+    ids = stored(whole.groupBy("comp").agg(F.min("least").alias("comp_id")), "ids")
+    of_class = stored(whole.join(ids, "comp").select("k", F.col("least").alias("class_id"), "comp", "comp_id"), "of_class")
+    release(classes, weighed, first, label, whole, ids)
+    return signed.select("doc", "t", "n", "k").join(of_class, "k", "left")
+
+
+def groups(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """One row for each document: doc_id, n_shingles, class_id (the smallest doc_id with an equal set) and component_id."""
+    doc = F.nullif("doc", F.lit(NULL_ID))
+    own = lambda name: F.when(F.col("k").isNull(), doc).otherwise(F.col(name))
+    return _grouped(docs, width).select(doc.alias("doc_id"), F.col("n").alias("n_shingles"), own("class_id").alias("class_id"), own("comp_id").alias("component_id"))
 
 
 def near_duplicates(docs: DataFrame, width: int = 4) -> DataFrame:
@@ -329,7 +338,16 @@ def near_duplicates(docs: DataFrame, width: int = 4) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """The documents that stay: of each group the one with the smallest doc_id, once."""
-    kept = groups(docs, width).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(id_or_null().alias("__d")).distinct()
-    marked = docs.withColumns({"__d": id_or_null(), "__t": F.xxhash64("text")})
-    return marked.join(kept, "__d", "left_semi").dropDuplicates(["__d", "__t"]).drop("__d", "__t")
+    """The rows that stay, with all their columns: of each group one row, that of the smallest doc_id (null ids last), among
+    texts of one id the one whose hash is smallest, once if it is repeated; and every row with an empty set."""
+    found = stored(_grouped(docs, width).filter("k IS NOT NULL").groupBy("comp", "doc", "t").agg(F.count("*").alias("times")), "rows")
+    best = stored(found.groupBy("comp").agg(F.min(F.struct((F.col("doc") == NULL_ID).alias("none"), "doc", "t")).alias("best")), "best")
+    marked = stored(found.join(best, "comp").select("doc", "t", "times", ((F.col("doc") == F.col("best.doc")) & (F.col("t") == F.col("best.t"))).alias("kept")), "marked")
+    release(found, best)
+    d, t = unused(docs, "__d"), unused(docs, "__t")
+    keyed = docs.withColumns({d: id_or_null(), t: F.xxhash64("text")})
+    named = lambda rows: rows.select(F.col("doc").alias(d), F.col("t").alias(t))
+    # most rows are neither dropped nor repeated: only those are looked up, and only repeated ones meet in an aggregate
+    once = keyed.join(named(marked.filter("NOT kept OR times > 1")), [d, t], "left_anti")
+    again = keyed.join(named(marked.filter("kept AND times > 1")), [d, t], "left_semi").dropDuplicates([d, t])
+    return once.union(again).select(docs.columns)
