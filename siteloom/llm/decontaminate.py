@@ -1,91 +1,117 @@
 """Benchmark passages in documents, by spaced seeds.
 
-Words are compared in lower case and without ASCII punctuation. Five fixed masks of weight five are laid at every word;
-a 0 in a mask is a place that may differ, so a passage with up to every fifth word replaced still shares a seed. Seed
-hashes of the documents are joined with those of the benchmark. Each shared seed names a document, an item and an
-alignment; there the words are compared one by one. A passage counts as copied where a window of 13 aligned words (the
-whole item, if it is shorter) has at least 80 % equal words.
-
-The benchmark's seeds go to the executors in slices of at most SLICE words, one pass over the documents for each slice,
-so what is broadcast is bounded whatever the benchmark's size. Items that repeat go once, with their count.
-
-Nulls and edge cases: null and empty texts match nothing; items with fewer than five words are left out; rows with a null
-doc_id are reported with it; repeated items and documents are reported each; extra columns are not read or pass through.
+Words are compared in lower case and without ASCII punctuation; a character of a script written without spaces is a word.
+Five fixed masks of weight five are laid at every word; a 0 in a mask is a place that may differ, so a passage with up to
+every fifth word replaced still shares a seed. Seed hashes of the documents are joined with those of the benchmark. Each
+shared seed names a document, an item and an alignment; there the words are compared one by one. A passage counts as copied
+where a window of 13 aligned words (the whole item, if it is shorter) has at least 80 % equal words. Where a benchmark has
+items that the five masks do not cover (of 3, 4, 5 or 10 words), masks for these are laid as well.
+
+The benchmark's seeds go to the executors in slices of at most SLICE words (or one item, if that is longer), one pass over
+the documents for each slice. A pass is run and written before the next slice is read, so the driver and every worker hold
+one slice whatever the benchmark's size. Items that repeat go once, with their count.
+
+Nulls and edge cases: null and empty texts match nothing; items of one or two words are left out, as they are ordinary prose
+and no passage; rows with a null doc_id are reported with it; repeated items and documents are reported each; extra columns
+are not read or pass through.
 """
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siteloom.llm.common import hash_words, mix, small_batches, stored
+from siteloom.llm.common import NULL_ID, hash_words, id_or_null, mix, small_batches, stored, unused
 
 MASKS = ("11111", "111101", "111011", "110111", "101111")
+#: Masks for items of so many words, which 80 % of equal words can leave without a seed of the five.
+MORE = {3: ("111",), 4: ("1111",), 5: ("01111", "10111", "11011", "11101", "11110"), 10: ("1111001",)}
 WINDOW = 13
-LEAST_WORDS = 5
+LEAST_WORDS = 3
 PERCENT = 80
-#: Benchmark words of a slice: 2.5 million seeds of 16 bytes, 40 MB.
-SLICE = 500_000
+#: Benchmark words of a slice: a million seeds of 16 bytes and a table of 16 bytes for each, 33 MB in all.
+SLICE = 200_000
+#: Pairs of a place and a posting that are made at once.
+PAIRS = 1 << 20
 _FOLD = bytes(32 if c < 128 and not chr(c).isalnum() else c for c in range(256))
+#: Thai to Myanmar, Khmer, kana, and Han characters.
+_UNSPACED = re.compile("([\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff])")
+_SHIFT = 1 << 31  # an alignment is item << 32 | shift + _SHIFT, as one number
 
 
 def words(text: str | None) -> np.ndarray:
-    return hash_words((text or "").lower().encode("utf-8", "surrogatepass").translate(_FOLD).split())
+    text = (text or "").lower()
+    if not text.isascii():
+        text = _UNSPACED.sub(r" \1 ", text)
+    return hash_words(text.encode("utf-8", "surrogatepass").translate(_FOLD).split())
 
 
-def seeds(w: np.ndarray):
-    """For each mask its number and the hashes at every place where it fits."""
-    for m, mask in enumerate(MASKS):
+def seeds(w: np.ndarray, masks=MASKS):
+    """For each mask that fits, the hashes at every place."""
+    for mask in masks:
         n = len(w) - len(mask) + 1
         if n <= 0:
             continue
-        h = np.full(n, m + 1, np.uint64)
+        h = np.full(n, int(mask, 2) << 4 | len(mask), np.uint64)
         for at, bit in enumerate(mask):
             if bit == "1":
                 h = h * np.uint64(0x9E3779B97F4A7C15) + w[at : at + n]
-        yield m, mix(h)
+        yield mix(h)
 
 
 class Index:
-    """Seeds of one slice of the benchmark, and a bit table that rules most places out. items: (item_id, text) and how many
+    """Seeds of one slice of the benchmark, and a table that rules most places out. items: (item_id, text) and how many
     rows are so, if more than one."""
 
     def __init__(self, items: list[tuple]):
         self.ids, self.items, self.times = [], [], []
         hashes, item, place = [], [], []
+        more: set[int] = set()
         for key, text, *times in items:
             w = words(text)
             if len(w) < LEAST_WORDS:
                 continue
-            for _, h in seeds(w):
+            more |= {len(w)} & set(MORE)
+            for h in seeds(w, MASKS + MORE.get(len(w), ())):
                 hashes.append(h)
                 item.append(np.full(len(h), len(self.items), np.int32))
                 place.append(np.arange(len(h), dtype=np.int32))
             self.ids.append(key)
             self.times.append(times[0] if times else 1)
             self.items.append(w)
+        self.masks = MASKS + tuple(m for n in sorted(more) for m in MORE[n])
         h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
         order = np.argsort(h, kind="stable")
         self.hashes = h[order]
         self.item = (np.concatenate(item) if item else np.zeros(0, np.int32))[order]
         self.place = (np.concatenate(place) if place else np.zeros(0, np.int32))[order]
-        self.bits = np.uint64(max(16, int(np.ceil(np.log2(max(1, len(h)) * 32)))))
+        self.bits = np.uint64(max(16, int(np.ceil(np.log2(max(1, len(h)) * 8)))))
         self.table = np.zeros(1 << int(self.bits), bool)
         self.table[self.hashes >> (np.uint64(64) - self.bits)] = True
 
-    def alignments(self, w: np.ndarray) -> set[tuple[int, int]]:
-        found: set[tuple[int, int]] = set()
-        for _, h in seeds(w):
+    def alignments(self, w: np.ndarray) -> list[tuple[int, int]]:
+        """The different (item, shift) that share a seed with the document."""
+        found = np.zeros(0, np.int64)
+        for h in seeds(w, self.masks):
             at = np.flatnonzero(self.table[h >> (np.uint64(64) - self.bits)])
             if not len(at):
                 continue
             low, high = np.searchsorted(self.hashes, h[at]), np.searchsorted(self.hashes, h[at], "right")
-            for i, a, b in zip(at, low, high, strict=True):
-                for e in range(a, b):
-                    found.add((int(self.item[e]), int(i) - int(self.place[e])))
-        return found
+            ends = np.cumsum(high - low)
+            first = 0
+            while first < len(at):  # postings of so many places that PAIRS are not much exceeded
+                last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + PAIRS, "right")))
+                n = (high - low)[first:last]
+                e = np.repeat(low[first:last] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+                codes = (self.item[e].astype(np.int64) << 32) | (np.repeat(at[first:last], n) - self.place[e] + _SHIFT)
+                found = np.union1d(found, codes)
+                first = last
+        return [(int(c) >> 32, (int(c) & 0xFFFFFFFF) - _SHIFT) for c in found]
 
     def matches(self, text: str | None):
         """(item_id, equal words, first and last+1 word of the document, the item's words) for each copied item, at its best alignment."""
@@ -108,45 +134,47 @@ class Index:
             yield from [(self.ids[item], n, -start, end, size)] * self.times[item]
 
 
-def _slices(benchmark: DataFrame):
+def _benchmark(benchmark: DataFrame) -> tuple[DataFrame, int]:
+    """(item_id, text, times) of the different items, and the number of slices."""
     rows = stored(benchmark.filter("text IS NOT NULL").groupBy("item_id", "text").agg(F.count("*").alias("times")), "benchmark")
     total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = max(1, -(-total // (2 * SLICE)))  # a word and its gap have two characters at least
-    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
-    for i in range(n):
-        yield [tuple(r) for r in rows.filter(part == i).collect()]
+    return rows, max(1, -(-total // (2 * SLICE)))  # a word and its gap have two characters at least
+
+
+def _index(docs: DataFrame, rows: DataFrame, slices: int, i: int):
+    """The index of slice i, broadcast."""
+    own = rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == i)
+    return docs.sparkSession.sparkContext.broadcast(Index([tuple(r) for r in own.collect()]))
+
+
+def _passes(docs: DataFrame, benchmark: tuple[DataFrame, int], scan):
+    """scan(docs, index) for every slice, one after the other; each but an only one is written before the next is read."""
+    for i in range(benchmark[1]):
+        index = _index(docs, *benchmark, i)
+        found = scan(docs, index)
+        if benchmark[1] == 1:
+            yield found
+        else:
+            yield stored(found, "slice")
+            index.unpersist()
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """A row for each document and item it copies from: doc_id, item_id, n_match, doc_start, doc_end, item_words, similarity."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    docs = docs.select("doc_id", "text")
-    schema = "doc_id long, item_id long, n_match long, doc_start long, doc_end long, item_words long, similarity double"
-    passes = []
-    for items in _slices(benchmark):
-        index = spark.sparkContext.broadcast(Index(items))
-
-        def scan(batches, index=index):
-            found = index.value
-            for batch in batches:
-                out = [(d, *m, m[1] / (m[3] - m[2])) for d, t in zip(batch["doc_id"], batch["text"], strict=True) for m in found.matches(t)]
-                frame = pd.DataFrame(out, columns=["doc_id", "item_id", "n_match", "doc_start", "doc_end", "item_words", "similarity"])
-                yield frame.astype({"doc_id": "Int64", "item_id": "Int64"})
+    small_batches(docs.sparkSession)
+    names = ["doc", "item_id", "n_match", "doc_start", "doc_end", "item_words", "similarity"]
+    schema = "doc long, item_id long, n_match long, doc_start long, doc_end long, item_words long, similarity double"
 
-        passes.append(docs.mapInPandas(scan, schema))
-    out = passes[0]
-    for more in passes[1:]:
-        out = out.union(more)
-    return out
+    def scanned(docs: DataFrame, index) -> DataFrame:
+        def scan(batches):
+            for batch in batches:
+                out = [(d, *m, m[1] / (m[3] - m[2])) for d, t in zip(batch["doc"], batch["text"], strict=True) for m in index.value.matches(t)]
+                yield pd.DataFrame(out, columns=names).astype({"doc": "int64", "item_id": "Int64"})
 
+        return docs.mapInPandas(scan, schema)
 
-def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the rows that hold a passage of the benchmark; all their columns."""
-    small_batches(docs.sparkSession)
-    for items in _slices(benchmark):
-        docs = docs.filter(~_copies(docs.sparkSession.sparkContext.broadcast(Index(items)))("text"))
-    return docs
+    found = reduce(DataFrame.union, _passes(docs.select(id_or_null().alias("doc"), "text"), _benchmark(benchmark), scanned))
+    return found.select(F.nullif("doc", F.lit(NULL_ID)).alias("doc_id"), *names[1:])
 
 
 def _copies(index):
@@ -154,3 +182,18 @@ def _copies(index):
         return pd.Series([next(iter(index.value.matches(t)), None) is not None for t in texts], dtype=bool)
 
     return F.pandas_udf(copies, "boolean")
+
+
+def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """docs without the rows that hold a passage of the benchmark; all their columns.
+
+    One slice is one filter; of several, each writes the ids and text hashes it finds, and those rows go in one join.
+    """
+    small_batches(docs.sparkSession)
+    d, t = unused(docs, "__d"), unused(docs, "__t")
+    keyed = docs.withColumns({d: id_or_null(), t: F.xxhash64("text")})
+    rows = _benchmark(benchmark)
+    if rows[1] == 1:
+        return docs.filter(~_copies(_index(docs, *rows, 0))("text"))
+    found = _passes(keyed, rows, lambda some, index: some.filter(_copies(index)("text")).select(d, t))
+    return keyed.join(reduce(DataFrame.union, found).distinct(), [d, t], "left_anti").select(docs.columns)
