@@ -13,6 +13,8 @@ labels are distinct and in order; repeated rows are rows of their own; a null do
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,6 +43,7 @@ TEMPLATES = (
 STOP_WORDS = frozenset("a all and any are for has in into is of or the this to with without use under free 0 2 3 4 by person".split())
 #: Words looked up for each template: as many as must agree on a place.
 KEY_WORDS = 2
+_UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _SHIFT, _START = 1 << 40, 1 << 30  # a vote is template * _SHIFT + start of the template + _START, as one long
 
@@ -48,8 +51,13 @@ _SPLIT = [(label, t.split(), p.split()) for label, t, p in TEMPLATES]
 INDEX = sorted({w for _, t, _ in _SPLIT for w in t} - STOP_WORDS)
 
 
+def folded(text: Column) -> Column:
+    """A-Z in lower case, other letters as they are."""
+    return F.translate(F.coalesce(text, F.lit("")), _UP, _LOW)
+
+
 def word_list(text: Column) -> Column:
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), _GAP), lambda w: w != "")
+    return F.filter(F.split(folded(text), _GAP), lambda w: w != "")
 
 
 def document_frequency(docs: DataFrame) -> dict[str, int]:
@@ -72,13 +80,7 @@ def _places(words: Column, phrase: list[str]) -> Column:
 
 
 def _literal(rows, kind: str) -> Column:
-    return F.from_json(F.lit(_json(rows)), kind)
-
-
-def _json(rows) -> str:
-    import json
-
-    return json.dumps(rows)
+    return F.from_json(F.lit(json.dumps(rows)), kind)
 
 
 def scan(docs: DataFrame, frequency: dict[str, int]) -> DataFrame:
@@ -88,9 +90,12 @@ def scan(docs: DataFrame, frequency: dict[str, int]) -> DataFrame:
     looked_up = [w for w in ranked if any(w in k for k in keyed)]
     rank = {w: k for k, w in enumerate(looked_up)}
     postings = [[t * _SHIFT + _START - p for t, (_, words, _) in enumerate(_SPLIT) if w in keyed[t] for p, x in enumerate(words) if x == w] for w in looked_up]
-    spots = lambda words, part: [{"at": k, "word": w} for k, w in enumerate(words)] if part is None else [{"at": next(i for i in range(len(words)) if words[i : i + len(part)] == part) + k, "word": w} for k, w in enumerate(part)]
 
-    text = F.lower(F.coalesce(F.col("text"), F.lit("")))
+    def spots(words: list[str], part: list[str]) -> list[dict]:
+        first = next(i for i in range(len(words)) if words[i : i + len(part)] == part)
+        return [{"at": first + k, "word": w} for k, w in enumerate(part)]
+
+    text = folded(F.col("text"))
     # a text with none of these can hold neither a phrase nor an aligned template
     hint = "|".join(_GAP.join(p.split()) for p in BASE)
     hint = f"{hint}|{'|'.join(sorted({w for _, _, p in _SPLIT for w in sorted(set(p) - STOP_WORDS, key=len)[-1:]}))}"
@@ -110,7 +115,7 @@ def scan(docs: DataFrame, frequency: dict[str, int]) -> DataFrame:
     again = F.filter("votes", lambda v, i: (i > 0) & (v == F.get("votes", i - 1)))
     one = one.withColumn("aligned", F.array_distinct(again))
     keys = _literal([spots(t, p) for _, t, p in _SPLIT], "array<array<struct<at:int,word:string>>>")
-    whole = _literal([spots(t, None) for _, t, _ in _SPLIT], "array<array<struct<at:int,word:string>>>")
+    whole = _literal([spots(t, t) for _, t, _ in _SPLIT], "array<array<struct<at:int,word:string>>>")
 
     def template(v: Column) -> Column:
         return F.floor(v / _SHIFT).cast("int")
