@@ -1,14 +1,15 @@
-"""Secrets: base patterns, and a character convolutional network over every other candidate with its context.
+"""Secrets: base patterns, and a character convolutional network over every candidate with its context.
 
-A candidate is a run of 16 or more key characters with a letter and a digit. The network reads BODY characters of it and
-CONTEXT on both sides, in classes of characters: an embedding convolution of width 5, rectifier, maximum over places,
-logistic output. A longer candidate is read whole, in windows of BODY characters that begin every STEP, and has the highest
-of their scores; so any key of up to BODY - STEP characters lies in one window. It is trained with numpy on labelled findings: those given, at most MAX_LABELLED rows, or
-else a set made by a rule. On a held-out third its outputs are calibrated (Platt scaling), and the threshold is the
-highest one that still finds RECALL of the secrets. Base spans stay; the network adds candidates that overlap none.
+A candidate is a run of 16 or more key characters with a letter and a digit, or the value of a base span. The network reads
+BODY characters of it and CONTEXT on both sides, in classes of characters: an embedding convolution of width 5, rectifier,
+maximum and mean over places, logistic output. A longer candidate is read whole, in windows of BODY characters that begin
+every STEP, and has the highest of their scores; so any key of up to BODY - STEP characters lies in one window. It is trained
+with numpy on labelled findings: those given, at most MAX_LABELLED rows, or else a set made by a rule. On a held-out third its
+outputs are calibrated (Platt scaling). The highest threshold that still finds RECALL of the secrets has the fewest harmless
+findings; the one taken has no more of them, half way down to the next harmless score. All candidates get a score. Base spans stay whatever theirs is; the network adds candidates that overlap none and reach the threshold.
 
 Nulls and edge cases: a null or empty text has no span; offsets are code points of the whole text; repeated rows are rows
-of their own; a null doc_id is returned as it is; extra columns pass through `find_secrets`.
+of their own; a null doc_id is returned as it is; extra columns pass through `find_secrets`, which replaces a column `secrets`.
 """
 
 from __future__ import annotations
@@ -42,17 +43,18 @@ _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 _DIGIT = re.compile(r"[0-9]")
 
 
-def base_spans(text: str) -> list[tuple[str, int, int]]:
-    found = [("assign", *m.span()) for m in _ASSIGN.finditer(text) if len(m[1]) >= 6]
+def base_spans(text: str) -> list[tuple[str, int, int, int]]:
+    """(kind, start, end, start of the value)."""
+    found = [("assign", *m.span(), m.start(1)) for m in _ASSIGN.finditer(text) if len(m[1]) >= 6]
     if "AKIA" in text:
-        found += [("access", *m.span()) for m in _ACCESS.finditer(text)]
-    found += [("hex", *m.span()) for m in _HEX.finditer(text)]
+        found += [("access", *m.span(), m.start()) for m in _ACCESS.finditer(text)]
+    found += [("hex", *m.span(), m.start()) for m in _HEX.finditer(text)]
     return found
 
 
-def candidates(text: str, taken: list[tuple[str, int, int]]):
-    """Runs of key characters with a letter and a digit that overlap no span taken."""
-    taken = sorted((a, b) for _, a, b in taken)
+def candidates(text: str, taken: list[tuple]):
+    """Runs of key characters with a letter and a digit that overlap no span (kind, start, end, ...) taken."""
+    taken = sorted((a, b) for _, a, b, *_ in taken)
     starts, ends = [a for a, _ in taken], list(accumulate((b for _, b in taken), max))
     for m in _CANDIDATE.finditer(text) if _DIGIT.search(text) else ():
         run = m[0]
@@ -158,11 +160,14 @@ class Network:
             a -= 0.1 * float(((p - y) * z).mean())
             b -= 0.1 * float((p - y).mean())
         self.scale = (a, b)
-        found = np.sort(np.concatenate([self.best(t, [(a, b)]) for t, a, b, _ in findings])[y == 1])
-        self.threshold = float(max(0.5, found[int((1 - RECALL) * len(found))])) if len(found) else 0.5
+        score = np.concatenate([self.best(t, [(a, b)]) for t, a, b, _ in findings])
+        found = np.sort(score[y == 1])
+        least = found[int((1 - RECALL) * len(found))] if len(found) else 1.0
+        harmless = score[(y == 0) & (score < least)]
+        self.threshold = float((least + harmless.max(initial=0.0)) / 2)
 
 
-def made_findings(n: int = 1500, seed: int = 11) -> list[tuple[str, int, int, int]]:
+def made_findings(n: int = 2400, seed: int = 11) -> list[tuple[str, int, int, int]]:
     """Labelled findings by a rule: (text, start, end, label)."""
     r = random.Random(seed)
     some = lambda chars, k: "".join(r.choice(chars) for _ in range(k))
@@ -175,6 +180,7 @@ def made_findings(n: int = 1500, seed: int = 11) -> list[tuple[str, int, int, in
         lambda: "sk-" + some(_LETTERS + upper + digits, 40),
         lambda: some("0123456789ABCDEF", r.choice((32, 40, 64))),
         lambda: "AIza" + some(_LETTERS + upper + digits + "-_", 35),
+        lambda: r.choice("-_.").join([some(_LETTERS, r.randint(2, 6)), *(some(_LETTERS + upper + digits, r.randint(10, 32)) for _ in range(r.randint(1, 2)))]),
     )
     harmless = (
         lambda: f"{r.randint(1990, 2030)}-{r.randint(10, 12)}-{r.randint(10, 28)}T{r.randint(10, 23)}-{r.randint(10, 59)}",
@@ -190,7 +196,7 @@ def made_findings(n: int = 1500, seed: int = 11) -> list[tuple[str, int, int, in
     for k in range(n):
         label = k % 2
         body = r.choice(secret if label else harmless)()
-        cue = r.choice(('key: "', "credential=", "Authorization: Bearer ", "auth ", "private_key '", " ")) if label else r.choice(("see ", "id ", "file ", "/", " ", "on "))
+        cue = r.choice(('key: "', "credential=", "Authorization: Bearer ", "auth ", "private_key '", " ", "use ", "by ")) if label else r.choice(("see ", "id ", "file ", "/", " ", "on "))
         left, right = f"{word()} {word()} {cue}", f"{r.choice((' ', chr(34), chr(39), '.', ','))}{word()} {word()}"
         rows.append((left + body + right, len(left), len(left) + len(body), label))
     return rows
@@ -215,36 +221,41 @@ def labelled_findings(rows: DataFrame) -> list[tuple[str, int, int, int]]:
     return [tuple(r) for r in picked.collect()]
 
 
-def spans(text: str | None, net: Network) -> list[tuple[str, int, int]]:
-    """(kind, start, end), by start and then in the order of KINDS."""
+def spans(text: str | None, net: Network) -> list[tuple[str, int, int, float]]:
+    """(kind, start, end, score), by start and then in the order of KINDS."""
     text = text or ""
-    found = base_spans(text)
-    rest = list(candidates(text, found))
-    found += [("model", a, b) for (a, b), s in zip(rest, net.best(text, rest), strict=True) if s >= net.threshold]
+    base = base_spans(text)
+    rest = list(candidates(text, base))
+    scores = net.best(text, [(value, b) for _, _, b, value in base] + rest)
+    found = [(kind, a, b, float(s)) for (kind, a, b, _), s in zip(base, scores, strict=False)]
+    found += [("model", a, b, float(s)) for (a, b), s in zip(rest, scores[len(base) :], strict=True) if s >= net.threshold]
     found.sort(key=lambda s: (s[1], KINDS.index(s[0])))
     return found
 
 
 def _join(found) -> str:
-    return ",".join(f"{k}:{a}:{b}" for k, a, b in found)
+    return ",".join(f"{k}:{a}:{b}" for k, a, b, _ in found)
 
 
 def find_secrets(docs: DataFrame, net: Network, text: str = "text") -> DataFrame:
-    """docs with a column `secrets`: struct of counts, digest and spans."""
+    """docs with a column `secrets`: struct of counts, digest, spans, and the network's score of each span."""
     small_batches(docs.sparkSession)
 
-    @F.pandas_udf("n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    @F.pandas_udf("n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_model long, scores string")
     def digest(texts: pd.Series) -> pd.DataFrame:
         rows = []
         for t in texts:
             found = spans(t, net)
             base = [s for s in found if s[0] != "model"]
-            rows.append((*(sum(s[0] == k for s in base) for k in KINDS[:3]), hashlib.sha256(_join(base).encode()).hexdigest(), _join(found)))
-        return pd.DataFrame(rows, columns=["n_assign", "n_access", "n_hex", "base_sha256", "spans"])
+            counts = [sum(s[0] == k for s in found) for k in KINDS]
+            rows.append((*counts[:3], hashlib.sha256(_join(base).encode()).hexdigest(), _join(found), counts[3], ",".join(f"{s[3]:.3f}" for s in found)))
+        return pd.DataFrame(rows, columns=["n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_model", "scores"])
 
     return docs.withColumn("secrets", digest(F.col(text)))
 
 
-def secret_digest(docs: DataFrame) -> DataFrame:
-    net = train(made_findings())
+def secret_digest(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
+    """The contract's digest; n_model and scores follow. labelled: findings (text, start, end, label) to train on, if there are any."""
+    found = labelled_findings(labelled) if labelled is not None else []
+    net = train(found if {f[3] for f in found} == {0, 1} else made_findings())
     return find_secrets(docs.select("doc_id", "text"), net).select("doc_id", "secrets.*")
