@@ -7,7 +7,8 @@ visited from the left, and none inside an earlier match of the kind counts. Two
 user data before an at-sign) and account (an identifier after a cue, by mod 97 if it is an IBAN).
 
 Nulls and edge cases: a null or empty text has no span; offsets are code points of the whole text; repeated rows are
-rows of their own; a null doc_id is returned as it is; extra columns pass through `find_personal_data`.
+rows of their own; a null doc_id is returned as it is; extra columns pass through `find_personal_data`, which replaces a
+column `personal`.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ _DIGITS = re.compile("[0-9]+")
 _IP = re.compile(r"([0-9]+)\.([0-9]+)\.([0-9]+)\.([0-9]+)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_SCHEME = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*\Z")
+_SCHEME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+.-")
 _USER = re.compile(r"://[^\s/?#@]+@[^\s/?#@]+")
 _ACCOUNT = re.compile(r"(?:\x20*(?:number|no\.?|is|code))?\x20*[:=#]?\x20*([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?|[A-Z0-9][A-Z0-9-]{5,24})(?![A-Za-z0-9])")
 
@@ -98,10 +99,15 @@ def spans(text: str | None) -> list[tuple[str, int, int]]:
                     found.append(("phone", at, m.end()))
         elif mark == "://":
             at -= 2
-            scheme, m = _SCHEME.search(text[max(0, at - 16) : at]), _USER.match(text, at)
-            if scheme and m and at >= end["uri"]:
+            m = _USER.match(text, at) if at >= end["uri"] else None
+            start = at
+            while m and start > end["uri"] and text[start - 1] in _SCHEME:
+                start -= 1
+            while start < at and not (text[start].isascii() and text[start].isalpha()):
+                start += 1
+            if m and start < at:
                 end["uri"] = m.end()
-                found.append(("uri", at - len(scheme[0]), m.end()))
+                found.append(("uri", start, m.end()))
         elif (m := _ACCOUNT.match(text, last + 1)) and m.start(1) >= end["account"]:
             code = m[1]
             if _iban(code) if re.match("[A-Z]{2}[0-9]{2}", code) and len(code) >= 15 else sum(c.isdigit() for c in code) >= 5:
@@ -120,8 +126,8 @@ def _digest(texts: pd.Series) -> pd.DataFrame:
     for text in texts:
         found = spans(text)
         base = [s for s in found if s[0] in BASE]
-        rows.append((*(sum(s[0] == k for s in base) for k in BASE), hashlib.sha256(_join(base).encode()).hexdigest(), _join(found)))
-    return pd.DataFrame(rows, columns=["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
+        rows.append((*(sum(s[0] == k for s in base) for k in BASE), hashlib.sha256(_join(base).encode()).hexdigest(), _join(found), len(found) > 0))
+    return pd.DataFrame(rows, columns=["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "found"])
 
 
 def _masked(texts: pd.Series) -> pd.Series:
@@ -140,9 +146,9 @@ def _masked(texts: pd.Series) -> pd.Series:
 
 
 def find_personal_data(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with a column `personal`: struct of counts, digest and spans."""
+    """docs with a column `personal`: struct of counts, digest, spans, and whether any is found."""
     small_batches(docs.sparkSession)
-    found = F.pandas_udf(_digest, "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    found = F.pandas_udf(_digest, "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, found boolean")
     return docs.withColumn("personal", found(F.col(text)))
 
 
