@@ -224,6 +224,30 @@ def test_secret_network():
     assert (scores >= net.threshold)[label == 1].mean() > 0.93
 
 
+def test_secrets_planted_in_documents(spark, corpus):
+    """Keys of forms that no base pattern and no rule of the training set has, in documents of the corpus; prose stays clean."""
+    rng = np.random.default_rng(21)
+    some = lambda n: "".join(rng.choice(list("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz23456789"), n))
+    texts = [r.text for r in corpus.filter("text IS NOT NULL AND length(text) > 400").limit(120).collect()]
+    forms = (lambda: f"xoxb-{rng.integers(10**11)}-{some(24)}", lambda: f"glpat-{some(20)}", lambda: f"eyJhbGciOiJIUzI1{some(20)}.eyJzdWIi{some(40)}.{some(43)}", lambda: f"client id {some(32)} here")
+    rows = [(k, t[:200] + f" login with {forms[k % 4]()} and go on " + t[200:]) for k, t in enumerate(texts)] + [(1000 + k, t) for k, t in enumerate(texts)]
+    rows += [(2000 + k, f"{t[:100]} see docs/v2/page-{k}/index-of-things and the file report_2024_final_{k}.txt {t[100:]}") for k, t in enumerate(texts)]
+    got = {r.doc_id: r for r in secrets.secret_digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    n = len(texts)
+    assert sum(got[k].n_model > 0 for k in range(n)) >= 0.95 * n
+    assert sum(got[1000 + k].n_model > 0 for k in range(n)) <= 0.02 * n and sum(got[2000 + k].n_model > 0 for k in range(n)) <= 0.1 * n
+    assert all(len(r.scores.split(",")) == len(r.spans.split(",")) for r in got.values())
+
+
+def test_secrets_from_labelled_findings(spark):
+    """Given findings are trained on; base spans are scored and stay whatever their score."""
+    table = spark.createDataFrame(secrets.made_findings(600, seed=5), "text string, start int, end int, label int")
+    docs = spark.createDataFrame([(1, "token = abcdef"), (2, "see ghp_" + "aB3" * 12)], "doc_id long, text string")
+    got = {r.doc_id: r for r in secrets.secret_digest(docs, table).collect()}
+    assert got[1].n_assign == 1 and 0 <= float(got[1].scores) <= 1 and got[2].spans.startswith("model:4:")
+    assert len(secrets.labelled_findings(table)) == 600
+
+
 def test_secret_network_reads_whole_candidates():
     """A key anywhere in a long candidate is found, every character is in a window, and long paths alone are harmless."""
     for n in (16, 48, 49, 56, 57, 300):
@@ -238,7 +262,7 @@ def test_secret_network_reads_whole_candidates():
         words = [some(low, rng.integers(3, 9)) for _ in range(20)]
         for key in (True, False):
             words[10 + k % 9] = some(low + low.upper() + "0123456789", 40) if key else f"part{k}"
-            found[key] += any(kind == "model" for kind, _, _ in secrets.spans(f"see {'/'.join(words)} on", net))
+            found[key] += any(kind == "model" for kind, *_ in secrets.spans(f"see {'/'.join(words)} on", net))
     assert found[True] >= 95 and found[False] <= 5
 
 
@@ -267,6 +291,13 @@ def test_personal_data_added_kinds():
     assert [text[a:b] for k, a, b in personal_data.spans(text) if k in ("uri", "account")] == ["ftp://bob:pw@host.example", "GB82 WEST 1234 5698 7654 32", "X1234567"]
 
 
+def test_personal_data_schemes_of_any_length():
+    for scheme in ("s", "a" * 40 + "+x.y-z", "9" * 30 + "h"):
+        text = f"({scheme}://me:pw@host.example/x) s://u@h"
+        first = text.index(scheme.lstrip("0123456789"))
+        assert [(a, text[a:b]) for k, a, b in personal_data.spans(text) if k == "uri"][0] == (first, text[first : text.index("/x")])
+
+
 def test_personal_data_long_runs():
     """Runs of digits of any length: in time proportional to their length, and no limit of int() is met."""
     for text in ("7" * 200_000, "0" * 9000 + ".1.2.3", "1.2.3 " * 5 + "0001.2.3.255", "300.1.2.3.4", "1.2..3.4.5.6"):
@@ -281,7 +312,7 @@ def test_secret_candidates_beside_spans():
     base = secrets.base_spans(text)
     assert len(list(secrets.candidates(text, base))) == 3000
     few = base[:30]
-    want = [m.span() for m in re.finditer(r"[A-Za-z0-9+/_=-]{16,}", text) if all(m.end() <= a or m.start() >= b for _, a, b in few)]
+    want = [m.span() for m in re.finditer(r"[A-Za-z0-9+/_=-]{16,}", text) if all(m.end() <= a or m.start() >= b for _, a, b, _ in few)]
     assert list(secrets.candidates(text, few)) == want
 
 
@@ -366,6 +397,12 @@ def test_license_templates(docs):
     assert "cc-by-nc" in got[73].labels.split(",") and got[60].labels == ""
 
 
+def test_license_words_fold_ascii_only(spark):
+    rows = [(1, "ALL RIGHTS RESERVED İ GENERAL PUBLIC LICENSE"), (2, "\u212aEY ALL R\u0130GHTS RESERVED"), (3, "ÀLL RIGHTS RESERVED")]
+    got = {r.doc_id: (r.n_words, r.base_labels) for r in licenses.license_labels(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (7, "gpl,reserved"), 2: (4, ""), 3: (3, "")}
+
+
 def test_license_files_with_many_notices(spark):
     """Every template whose phrase stands in a file gives its label, however many notices the file holds."""
     notices = [t for _, t, _ in licenses.TEMPLATES]
@@ -423,6 +460,38 @@ def test_mixing(which, request):
     assert sorted(map(str, again)) == sorted(map(str, rows))
 
 
+@pytest.mark.parametrize("which", ["docs", "corpus"])
+def test_mix_as_written(which, request):
+    """Slots of at most BLOCK words, all places of a shard drawn, and what documents give adds up to `taken`."""
+    table = request.getfixturevalue(which)
+    pieces = mixing.shards(table).toPandas()
+    rows = mixing.mixed(table).toPandas()
+    assert pieces.groupby("slot").words.sum().max() <= mixing.BLOCK and (pieces["shard"] == pieces["slot"] // mixing.SHARD).all()
+    given = pieces.groupby("doc_id", dropna=False).words.sum()
+    taken = rows.groupby("doc_id", dropna=False).taken.sum()
+    assert {str(k): v for k, v in given.items()} == {str(k): v for k, v in taken.items() if v}
+    assert set(pieces["slot"]) == set(range(pieces["slot"].max() + 1))
+
+
+def test_mix_draws_are_multinomial(spark):
+    """Counts of a source in shards of 4096 slots scatter as draws do, and their totals are the targets' exactly."""
+    sources = spark.createDataFrame([(0, "a", 3_000_000, 2_000_000.0), (1, "b", 5_000_000, 5_000_000.0), (2, None, 100_000, 300_000.0)], "s long, source string, source_size long, target double")
+    drawn = mixing.slots(sources).groupBy("s", "shard").count().toPandas()
+    total = drawn.groupby("s")["count"].sum().to_dict()
+    assert total == {0: round(2e6 / mixing.BLOCK), 1: round(5e6 / mixing.BLOCK), 2: 3 * -(-100_000 // mixing.BLOCK) if total[2] % 3 == 0 else total[2]}
+    assert abs(total[2] * mixing.BLOCK - 300_000) < 1000
+    p = total[1] / sum(total.values())
+    full = drawn[(drawn.s == 1) & (drawn["shard"] < drawn["shard"].max())]["count"]
+    spread = (full - 4096 * p) / (4096 * p * (1 - p)) ** 0.5
+    assert 0.3 < spread.std() < 2 and abs(spread.mean()) < 1.5
+
+
+def test_mix_keeps_columns(docs):
+    out = mixing.with_taken(docs)
+    assert out.columns == [*[c for c in docs.columns if c != "size"], "size", "source_size", "target", "taken"] and out.count() == docs.count()
+    assert all(0 <= r.taken <= 3 * r["size"] for r in out.collect())
+
+
 def _sets(rows, width):
     out = []
     for _, t in rows:
@@ -471,6 +540,20 @@ def test_near_duplicates(which, width, request):
     assert sorted(map(str, [(r.doc_id, r.class_id) for r in got])) == sorted(map(str, want))
 
 
+def test_one_of_each_row(spark):
+    """Null, repeated and shared ids: of each group one row, and every row without words."""
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(30))
+    rows = [(5, text(1)), (7, text(1)), (7, text(2)), (None, text(1)), (None, text(3)), (None, text(3)), (9, None), (9, None), (None, ""), (3, text(4)), (2**60 + 1, text(5)), (2**60, text(5))]
+    rows += [(8, text(6))] * 5 + [(4, text(6) + " end")]
+    table = spark.createDataFrame([(*r, "a", k) for k, r in enumerate(rows)], "doc_id long, text string, __d string, __t int").repartition(3)
+    kept = near_dedup.one_of_each(table)
+    assert kept.columns == table.columns
+    want = [(5, text(1)), (7, text(2)), (None, text(3)), (9, None), (9, None), (None, ""), (3, text(4)), (2**60, text(5)), (4, text(6) + " end")]
+    assert sorted(map(str, _rows(kept))) == sorted(map(str, want))
+    found = near_dedup.near_duplicates(table, 5).collect()
+    assert {r.doc_id for r in found} == {r[0] for r in rows} and len(found) == len(rows)
+
+
 def test_near_duplicates_of_a_hub(spark, monkeypatch):
     """Copies that are alike only through the original, in buckets of several blocks."""
     monkeypatch.setattr(near_dedup, "BLOCK", 8)
@@ -565,11 +648,44 @@ def test_decontamination_folds_all_letters():
     assert [m[0] for m in decontaminate.Index([(9, passage)]).matches(f"X!! {passage.upper()} Y!!")] == [9]
 
 
+def test_decontamination_of_short_and_unspaced_items(spark):
+    """What 80 % of equal words allows is found for items of any length from 3 words on, each replacement tried."""
+    from itertools import combinations
+
+    for n in range(3, 16):
+        item = [f"w{k}" for k in range(n)]
+        index = decontaminate.Index([(1, " ".join(item))])
+        need = min(decontaminate.WINDOW, n)
+        for gone in combinations(range(need), need - -(-need * 80 // 100)):
+            text = "a b " + " ".join("x" if k in gone else w for k, w in enumerate(item[:need])) + " c d"
+            assert [m[0] for m in index.matches(text)] == [1], (n, gone)
+        less = combinations(range(need), need - -(-need * 80 // 100) + 1)
+        assert not any(list(index.matches(" ".join("x" if k in gone else w for k, w in enumerate(item[:need])))) for gone in less)
+    assert [m[0] for m in decontaminate.Index([(2, "天地玄黄宇宙洪荒")]).matches("前文。天地玄黄宇宙洪荒,后文")] == [2]
+    assert not list(decontaminate.Index([(3, "of the")]).matches("one of the two"))
+
+
+def test_decontamination_of_common_seeds(monkeypatch):
+    """Alignments of a word that both sides repeat, made in pieces, equal those made one by one."""
+    index = decontaminate.Index([(1, "a " * 40 + "b"), (2, "a " * 9 + "c d e f"), (3, "x y z u v w")])
+    w = decontaminate.words("q " + "a " * 60 + "b x y z u v w")
+    want = set()
+    for h in decontaminate.seeds(w):
+        for place, value in enumerate(h):
+            want |= {(int(index.item[e]), place - int(index.place[e])) for e in np.flatnonzero(index.hashes == value)}
+    for most in (1, 7, 1 << 20):
+        monkeypatch.setattr(decontaminate, "PAIRS", most)
+        assert set(index.alignments(w)) == want
+
+
 def test_decontamination_in_slices(spark, docs, monkeypatch):
     benchmark = spark.createDataFrame([(k, f"{PASSAGE} {k}" if k == 3 else " ".join(f"q{k}w{i}" for i in range(20))) for k in range(12)], "item_id long, text string")
     monkeypatch.setattr(decontaminate, "SLICE", 100)
+    held, whole = [], decontaminate.Index
+    monkeypatch.setattr(decontaminate, "Index", lambda items: held.append(sum(len(decontaminate.words(t)) for _, t, *_ in items)) or whole(items))
     assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, benchmark).collect()} == {(50, 3), (51, 3)}
     assert decontaminate.clean(docs, benchmark).count() == docs.count() - 2
+    assert len(held) > 4 and max(held) <= 200  # slices of about SLICE words, however many there are
 
 
 def test_decontamination_with_repeated_items(spark, docs):

@@ -22,7 +22,7 @@ def test_stages(spark, sf, tmp_path):
     want = {d for d, n, c in brute._groups(brute._rows(lines), 5) if d == c}
     assert {r.doc_id for r in near.select("doc_id").collect()} == want
     assert 0 < near.count() - bench.count() < 0.1 * near.count()
-    assert mix.count() == bench.count()
+    assert mix.count() == bench.count() and {"text", "taken", "target"} < set(mix.columns)
 
 
 def test_stages_keep_other_columns(spark, sf):
@@ -32,6 +32,15 @@ def test_stages_keep_other_columns(spark, sf):
         out = stage(spark, docs, sf)
         assert out.columns == docs.columns and out.count() > 0
         assert stage(spark, docs.limit(0), sf).count() == 0
+    mixed = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
+    assert set(docs.columns) < set(mixed.columns) and mixed.count() == docs.count()
+    assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), sf).count() == 0
+
+
+def test_language_stage_without_languages(spark, sf):
+    """Where nothing can be learned, nothing is rejected."""
+    docs = spark.createDataFrame([(k, "some words of a text", None, None, 20) for k in range(20)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert corpus_pipeline.language_stage(spark, docs, sf).count() == 20
 
 
 def test_language_stage_drops_unlearned_scripts(spark, sf):
