@@ -478,8 +478,8 @@ def test_mix_draws_are_multinomial(spark):
     sources = spark.createDataFrame([(0, "a", 3_000_000, 2_000_000.0), (1, "b", 5_000_000, 5_000_000.0), (2, None, 100_000, 300_000.0)], "s long, source string, source_size long, target double")
     drawn = mixing.slots(sources).groupBy("s", "shard").count().toPandas()
     total = drawn.groupby("s")["count"].sum().to_dict()
-    assert total == {0: round(2e6 / mixing.BLOCK), 1: round(5e6 / mixing.BLOCK), 2: 3 * -(-100_000 // mixing.BLOCK) if total[2] % 3 == 0 else total[2]}
-    assert abs(total[2] * mixing.BLOCK - 300_000) < 1000
+    blocks = {r.s: -(-r.source_size // mixing.BLOCK) for r in sources.collect()}
+    assert total == {r.s: min(int(r.target * blocks[r.s] / r.source_size + 0.5), 3 * blocks[r.s]) for r in sources.collect()}
     p = total[1] / sum(total.values())
     full = drawn[(drawn.s == 1) & (drawn["shard"] < drawn["shard"].max())]["count"]
     spread = (full - 4096 * p) / (4096 * p * (1 - p)) ** 0.5
