@@ -183,10 +183,11 @@ def meta(root: Element) -> dict:
     return out | {f: f in words for f in ("noindex", "nofollow", "noarchive")}
 
 
-def images(root: Element) -> list[dict]:
+def images(root: Element, url: str | None = None) -> list[dict]:
+    """Every img; src against the page's address, an empty one as it is."""
     number = lambda v: float(v) if re.fullmatch(r"\d+(\.\d+)?", v or "") else 0.0
     return [
-        {"src": e.attrs.get("src", ""), "currentSrc": "", "alt": e.attrs.get("alt", ""), "width": number(e.attrs.get("width")), "height": number(e.attrs.get("height")), "isLazy": e.attrs.get("loading") == "lazy", "sourceCode": e.source}
+        {"src": resolved(url, e.attrs["src"]) if e.attrs.get("src") else "", "currentSrc": "", "alt": e.attrs.get("alt", ""), "width": number(e.attrs.get("width")), "height": number(e.attrs.get("height")), "isLazy": e.attrs.get("loading") == "lazy", "sourceCode": e.source}
         for e in root.walk() if e.tag == "img"
     ]
 
@@ -287,14 +288,14 @@ _DOM_SCHEMA = "id long, meta struct<{}>, images array<struct<src:string,currentS
 
 
 def parsed(pages: DataFrame, main_selector: str | None = None) -> DataFrame:
-    """One DOM pass for each page (id, html): meta, images and main-content counts together."""
+    """One DOM pass for each page (id, url, html): meta, images and main-content counts together."""
 
     def run(batches):
         for batch in batches:
             out = []
-            for i, source in zip(batch["id"], batch["html"], strict=True):
+            for i, url, source in zip(batch["id"], batch["url"], batch["html"], strict=True):
                 root = dom(source)
-                out.append((i, meta(root), images(root), main_contents(root, main_selector)))
+                out.append((i, meta(root), images(root, url), main_contents(root, main_selector)))
             yield pd.DataFrame(out, columns=["id", "meta", "images", "main"])
 
-    return pages.select("id", "html").mapInPandas(run, _DOM_SCHEMA)
+    return pages.select("id", "url", "html").mapInPandas(run, _DOM_SCHEMA)

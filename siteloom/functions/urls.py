@@ -175,6 +175,13 @@ def with_auth(u: Column, user: Column, password: Column) -> Column:
     return F.when(user.isNull(), bare).otherwise(F.concat(F.regexp_extract(bare, "^([A-Za-z][A-Za-z0-9+.-]*://)", 1), auth, F.regexp_extract(bare, "^[A-Za-z][A-Za-z0-9+.-]*://(.*)$", 1)))
 
 
+def with_scope_auth(rows: DataFrame, scopes: DataFrame, key: str = "url") -> DataFrame:
+    """rows with `address`: key with the user data of its best scope, none if that has none; without a scope as it is."""
+    found = best_scope(rows, scopes, key)
+    part = lambda n: F.nullif(F.regexp_extract("scope", "^[A-Za-z][A-Za-z0-9+.-]*://([^/?#@:]*)(?::([^/?#@]*))?@", n), F.lit(""))
+    return found.withColumn("address", F.when(F.col("scope").isNull(), F.col(key)).otherwise(with_auth(F.col(key), part(1), part(2)))).drop("scope")
+
+
 def glob_regex(glob: str) -> str:
     """A glob on the path: * and ** match anything, ? one character, {a,b} either."""
     out = ""
@@ -266,7 +273,11 @@ def robots_allowed(rows: DataFrame, rules: DataFrame, key: str = "url") -> DataF
 
 
 def natural_key(u: Column) -> Column:
-    """Sorts runs of digits by value: each run gets its length, two digits, in front; an index page comes first."""
-    flat = F.regexp_replace(protocol_key(u), "(^|[^0-9])0+([0-9])", "$1$2")
+    """Sorts by host, then segment by segment, runs of digits by value: each run gets its length, three digits, in front.
+
+    The sign between segments sorts before all others, and an index page is its directory, so it comes first there.
+    """
+    flat = F.translate(F.regexp_replace(protocol_key(u), "/index[.][^/?#]*", "/"), "/", "\x01")
+    flat = F.regexp_replace(flat, "(^|[^0-9])0+([0-9])", "$1$2")
     pieces = F.regexp_extract_all(flat, F.lit("([0-9]+|[^0-9]+)"), F.lit(1))
     return F.array_join(F.transform(pieces, lambda x: F.when(x.rlike("^[0-9]"), F.concat(F.lpad(F.length(x).cast("string"), 3, "0"), x)).otherwise(x)), "")

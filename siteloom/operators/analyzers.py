@@ -134,8 +134,9 @@ def violation_summary(found: DataFrame) -> DataFrame:
 
 
 def accessibility(findings: DataFrame) -> DataFrame:
-    """findings (url, outcome, impact, rule, message, nodes): incomplete ones first, those without impact dropped."""
-    rows = findings.filter((F.col("outcome") != "violations") | F.col("outcome").isNotNull()).filter("impact IS NOT NULL OR rule IS NULL")
+    """findings (url, outcome, impact, rule, message, nodes): incomplete ones first, then violations; of these, ones without
+    impact are dropped. Other outcomes are no findings. A run that failed is a row without outcome."""
+    rows = findings.filter("outcome IN ('incomplete', 'violations') AND impact IS NOT NULL OR outcome IS NULL")
     return rows.select(
         F.lit("accessibility").alias("validator"), F.coalesce("impact", F.lit("error")).alias("severity"), F.coalesce("rule", F.lit("UNKNOWN_RULE")).alias("rule"),
         F.array_join("nodes", "\n").alias("code"), "message", "url", F.when(F.col("outcome") == "incomplete", 0).otherwise(1).alias("turn"),
@@ -175,27 +176,35 @@ def scores(audits: DataFrame) -> DataFrame:
 
 @register("analyze-search")
 def search(options: dict) -> Analyzer:
-    """Keyword counts and selector hits, below an optional scope element."""
-    words = [(k, html.keyword_pattern(k)) for k in options.get("keywords", ())]
-    tests = list(options.get("selectors", ()))
+    """Keyword counts below an optional scope element, and whether selectors hit anything in the document.
+
+    Keywords and selectors are texts, or dicts of search and title; each is taken once. Of a dict, the header names search and
+    the pattern is title, as in the tool whose results these are. A page without the scope has no row.
+    """
+
+    def entries(name: str) -> list[tuple[str, str]]:
+        given = [(x["search"], x["title"]) if isinstance(x, dict) else (x, x) for x in options.get(name, ())]
+        return list(dict.fromkeys(given))
+
+    words = [(f"keyword:{title}", html.keyword_pattern(title)) for _, title in entries("keywords")]
+    tests = []
+    for _, title in entries("selectors"):
+        try:
+            tests.append((f"selector:{title}", html.selector(title)))
+        except ValueError:  # finds nothing
+            continue
+    scope = html.selector(options["scope"]) if options.get("scope") else None
 
     def each_page(url: str, source: str):
-        root = html.dom(source)
-        if options.get("scope"):
-            root = html.first(root, options["scope"])
-            if root is None:
-                return None
-        cells = [(f"keyword:{k}", html.keyword_count(root, p), None) for k, p in words]
-        for s in tests:
-            try:
-                if html.first(root, s) is not None:
-                    cells.append((f"selector:{s}", True, None))
-            except ValueError:
-                continue
-        return cells, []
-
-    names = [f"keyword:{k}" for k, _ in words] + [f"selector:{s}" for s in tests]
-    return Analyzer("analyze-search", dict(zip(names, names, strict=True)), "Search", each_page)
+        document = html.dom(source)
+        root = document if scope is None else next((e for e in document.walk() if scope(e)), None)
+        if root is None:
+            return None
+        cells = [(name, html.keyword_count(root, p), None) for name, p in words]
+        return cells + [(name, True, None) for name, test in tests if any(map(test, document.walk()))], []
+
+    headers = {f"keyword:{s}": f"Search keyword: {s}" for s, _ in entries("keywords")} | {f"selector:{s}": f"Search selector: {s}" for s, _ in entries("selectors")}
+    return Analyzer("analyze-search", headers, "Search", each_page)
 
 
 @register("analyze-main-contents")

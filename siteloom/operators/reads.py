@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siteloom.functions import urls
+from siteloom.operators.writes import url_order
+from siteloom.sources.archive import FLAGS, META
+
 HTML = "text/html"
 
 
@@ -38,8 +42,8 @@ def crawling_state(table: DataFrame) -> DataFrame:
 
 def anchors_on_pages(anchors: DataFrame, table: DataFrame) -> DataFrame:
     """Anchors with what they point at; redirects are not followed."""
-    dest = table.select(F.col("id").alias("hrefId"), "url", "title", "status", "contentType")
-    return anchors.join(dest, "hrefId").select("pageId", "url", "title", "status", "contentType", "hash", "textContent")
+    dest = table.select(F.col("id").alias("hrefId"), "url", "title", "status", "statusText", "contentType")
+    return anchors.join(dest, "hrefId").select("pageId", "url", "title", "status", "statusText", "contentType", "hash", "textContent")
 
 
 def referrers_of_pages(anchors: DataFrame, table: DataFrame) -> DataFrame:
@@ -70,9 +74,13 @@ def redirect_map(table: DataFrame, identity: bool = True) -> DataFrame:
 
 
 def with_order(table: DataFrame) -> DataFrame:
-    """Internal pages numbered by URL, one window for each value of isExternal; external ones have no order."""
-    w = Window.partitionBy("isExternal").orderBy("url", "id")
-    return table.withColumn("order", F.when(F.col("isExternal") == 0, F.row_number().over(w)))
+    """Internal pages numbered in natural order of their addresses, by ranges; external ones have no order."""
+    return url_order(table, urls.natural_key(F.col("url"))).withColumn("order", F.col("order").cast("int"))
+
+
+def page_ids(table: DataFrame) -> DataFrame:
+    """Ids of pages that are no redirects, where no order is asked for."""
+    return table.filter("redirectDestId IS NULL").select("id")
 
 
 def limited_page_ids(ordered: DataFrame, limit: int | None = None, offset: int = 0) -> DataFrame:
@@ -90,11 +98,11 @@ def rel_redirects(table: DataFrame, limited: DataFrame) -> DataFrame:
 def rel_anchors(anchors: DataFrame, table: DataFrame, limited: DataFrame) -> DataFrame:
     """Anchors of the limited pages through one redirect: url is where they end, href what they say."""
     m = redirect_map(table).select(F.col("fromId").alias("hrefId"), F.col("from").alias("href"), "toId")
-    dest = table.select(F.col("id").alias("toId"), "url", "isExternal", "title", "status", "contentType")
+    dest = table.select(F.col("id").alias("toId"), "url", "isExternal", "title", "status", "statusText", "contentType")
     own = limited.select(F.col("id").alias("pageId"))
     return (
         anchors.join(own, "pageId").join(m, "hrefId").join(dest, "toId")
-        .select("id", "pageId", "url", "href", "isExternal", "title", "status", "contentType", "hash", "textContent")
+        .select("id", "pageId", "url", "href", "isExternal", "title", "status", "statusText", "contentType", "hash", "textContent")
     )
 
 
@@ -132,24 +140,63 @@ def is_internal_page() -> Column:
 def page_rows(table: DataFrame) -> DataFrame:
     """A page's own fields with the defaults of its object form."""
     flag = lambda c: F.coalesce(F.col(c) == 1, F.lit(False)).alias(c)
-    return table.select(
-        "id", "url", F.coalesce("title", F.lit("")).alias("title"), "status", "contentType", "lang",
-        flag("isExternal"), flag("isTarget"), flag("isSkipped"), "skipReason", is_page().alias("isPage"), is_internal_page().alias("isInternalPage"),
+    return parsed_headers(table).select(
+        "id", "url", F.coalesce("title", F.lit("")).alias("title"), "status", "statusText", "contentType", "contentLength", F.col("headers").alias("responseHeaders"),
+        flag("isExternal"), flag("isSkipped"), "skipReason", flag("isTarget"), "lang", *META, *map(flag, FLAGS), is_page().alias("isPage"), is_internal_page().alias("isInternalPage"),
     )
 
 
-def page_json(table: DataFrame) -> DataFrame:
-    rows = page_rows(table)
-    return rows.select("id", F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("json"))
+def grouped_relations(anchors: DataFrame, table: DataFrame, limited: DataFrame) -> DataFrame:
+    """id with the arrays redirectFrom (by id), anchors and referrers (by anchor id) of the limited pages; empty where there are none."""
+
+    def grouped(rows: DataFrame, name: str, key: str, fields: list[str]) -> DataFrame:
+        return rows.groupBy(F.col("pageId").alias("id")).agg(F.array_sort(F.collect_list(F.struct(key, *fields))).alias(name))
+
+    hops = grouped(rel_redirects(table, limited), "redirectFrom", "fromId", ["from"])
+    links = grouped(rel_anchors(anchors, table, limited), "anchors", "id", ["url", "href", "isExternal", "title", "status", "statusText", "contentType", "hash", "textContent"])
+    refs = rel_referrers(anchors, table, limited).withColumn("textContent", F.coalesce("textContent", F.lit("")))
+    refs = grouped(refs, "referrers", "id", ["url", "through", "throughId", "hash", "textContent"])
+    out = limited.select("id").join(hops, "id", "left").join(links, "id", "left").join(refs, "id", "left")
+    return out.withColumns({c: F.coalesce(c, F.array()) for c in ("redirectFrom", "anchors", "referrers")})
+
+
+def pages_with_refs(anchors: DataFrame, table: DataFrame, with_refs: bool = True) -> DataFrame:
+    """Pages with their relations; without them, the internal pages as they are."""
+    if not with_refs:
+        return pages(table, "internal-page")
+    return page_rows(table.filter("redirectDestId IS NULL")).join(grouped_relations(anchors, table, page_ids(table)), "id")
+
+
+def page_json(anchors: DataFrame, table: DataFrame) -> DataFrame:
+    """A page's 31 fields as JSON: its own, where it was redirected from, its anchors and referrers."""
+    rows = pages_with_refs(anchors, table).withColumnsRenamed({"anchors": "getAnchors", "referrers": "getReferrers"})
+    return rows.select("id", F.to_json(F.struct(*[c for c in rows.columns if c != "id"]), {"ignoreNullFields": "false"}).alias("json"))
+
+
+def resource_urls(resources: DataFrame) -> DataFrame:
+    return resources.select("url")
 
 
 def html_of(table: DataFrame) -> DataFrame:
     return table.select("id", F.nullif("html", F.lit("")).alias("html"))
 
 
+def one_value(info: DataFrame, column: str):
+    """baseUrl or name of the archive; an error if it has no configuration."""
+    row = info.select(column).first()
+    if row is None:
+        raise ValueError(f"the archive has no {column}")
+    return row[0]
+
+
+def json_list(column: Column) -> Column:
+    """A JSON list of texts; anything else is an empty one."""
+    return F.coalesce(F.from_json(column, "array<string>"), F.array().cast("array<string>"))
+
+
 def config(info: DataFrame) -> DataFrame:
     """The configuration row: JSON lists that cannot be read are empty, retry defaults to 3."""
-    lists = {c: F.coalesce(F.from_json(c, "array<string>"), F.array().cast("array<string>")) for c in ("scope", "excludes", "excludeKeywords", "excludeUrls") if c in info.columns}
+    lists = {c: json_list(F.col(c)) for c in ("scope", "excludes", "excludeKeywords", "excludeUrls") if c in info.columns}
     out = info.withColumns(lists)
     return out.withColumn("retry", F.coalesce("retry", F.lit(3))) if "retry" in info.columns else out
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from siteloom.sources.scratch import kept
+
 
 def _first(df: DataFrame, key: list[str], *order) -> DataFrame:
     w = Window.partitionBy(*key).orderBy(*order)
@@ -69,17 +71,23 @@ def resource_referrers(links: DataFrame, resources: DataFrame) -> DataFrame:
 def url_order(pages: DataFrame, key) -> DataFrame:
     """Internal pages numbered in natural order, others null. key: the sort key column, one range of it at a time.
 
-    Rows are range-partitioned by the key; a partition's offset is the number of rows before it, so no task holds all.
+    Rows are range-partitioned by the key; a partition's offset is the number of rows before it, so no task holds all. The
+    ranges are written, so that they are the same where they are counted and where they are numbered.
     """
     inside = pages.filter("isExternal = 0").select("id", "url", key.alias("k"))
     ranged = inside.repartitionByRange("k", "id").sortWithinPartitions("k", "id").withColumn("m", F.monotonically_increasing_id())
-    ranged = ranged.select("id", (F.shiftright("m", 33)).alias("part"), (F.col("m").bitwiseAND((1 << 33) - 1)).alias("at"))
+    ranged = kept(ranged.select("id", (F.shiftright("m", 33)).alias("part"), (F.col("m").bitwiseAND((1 << 33) - 1)).alias("at")))
     sizes = ranged.groupBy("part").count()
     start = sizes.select("part", (F.sum("count").over(Window.orderBy("part")) - F.col("count")).alias("start"))
     numbered = ranged.join(start, "part").select("id", (F.col("start") + F.col("at") + 1).alias("order"))
     return pages.drop("order").join(numbered, "id", "left")
 
 
+def without_snapshot(pages: DataFrame, failed: DataFrame) -> DataFrame:
+    """pages whose snapshot could not be written (ids of failed) lose their html."""
+    return pages.join(failed.select("id", F.lit(True).alias("__gone")).distinct(), "id", "left").withColumn("html", F.when(F.col("__gone").isNull(), F.col("html"))).drop("__gone")
+
+
 def errors(records: DataFrame) -> DataFrame:
     """Log lines of error records (pid, isMain, url, stack)."""
     who = F.concat(F.lit("["), F.col("pid").cast("string"), F.when(F.col("isMain"), "(main)").otherwise("(sub)"), F.lit("] "))

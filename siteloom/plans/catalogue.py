@@ -53,7 +53,7 @@ for _kind, _where in _FILTERS.items():
 
 _add("page_count", "SELECT count(id) AS n FROM p")(lambda a, s, d: reads.page_count(a["pages"]))
 _add("crawling_state", "SELECT url, CASE WHEN scraped = 1 THEN 'scraped' ELSE 'pending' END AS state FROM p")(lambda a, s, d: reads.crawling_state(a["pages"]))
-_add("anchors_on_page", "SELECT a.pageId, p.url, p.title, p.status, p.contentType, a.hash, a.textContent FROM a JOIN p ON a.hrefId = p.id")(
+_add("anchors_on_page", "SELECT a.pageId, p.url, p.title, p.status, p.statusText, p.contentType, a.hash, a.textContent FROM a JOIN p ON a.hrefId = p.id")(
     lambda a, s, d: reads.anchors_on_pages(a["anchors"], a["pages"])
 )
 _add("referrers_of_page", "SELECT a.hrefId AS id, p.url, a.hash, a.textContent FROM a JOIN p ON a.pageId = p.id")(
@@ -71,31 +71,55 @@ _add("limited_page_ids", f'{_LIMITED} SELECT id, ord AS "order" FROM lim ORDER B
     lambda a, s, d: reads.limited_page_ids(reads.with_order(a["pages"]), 40, 5)
 )
 _add("rels_redirects", f'{_LIMITED} SELECT toId AS pageId, "from", fromId FROM rmap JOIN lim ON lim.id = toId WHERE fromId <> toId')(
-    lambda a, s, d: reads.rel_redirects(a["pages"], reads.limited_page_ids(reads.with_order(a["pages"])))
+    lambda a, s, d: reads.rel_redirects(a["pages"], reads.page_ids(a["pages"]))
 )
 _add(
     "rels_anchors",
-    f"""{_LIMITED} SELECT a.id, a.pageId, d.url, m."from" AS href, d.isExternal, d.title, d.status, d.contentType, a.hash, a.textContent
+    f"""{_LIMITED} SELECT a.id, a.pageId, d.url, m."from" AS href, d.isExternal, d.title, d.status, d.statusText, d.contentType, a.hash, a.textContent
     FROM a JOIN lim ON a.pageId = lim.id JOIN rmap m ON a.hrefId = m.fromId JOIN p d ON m.toId = d.id""",
-)(lambda a, s, d: reads.rel_anchors(a["anchors"], a["pages"], reads.limited_page_ids(reads.with_order(a["pages"]))))
+)(lambda a, s, d: reads.rel_anchors(a["anchors"], a["pages"], reads.page_ids(a["pages"])))
 _add(
     "rels_referrers",
     f"""{_LIMITED} SELECT a.id, m.toId AS pageId, s.url, m."from" AS through, a.hrefId AS throughId, a.hash, a.textContent
     FROM a JOIN rmap m ON a.hrefId = m.fromId JOIN lim ON lim.id = m.toId JOIN p s ON s.id = a.pageId""",
-)(lambda a, s, d: reads.rel_referrers(a["anchors"], a["pages"], reads.limited_page_ids(reads.with_order(a["pages"]))))
+)(lambda a, s, d: reads.rel_referrers(a["anchors"], a["pages"], reads.page_ids(a["pages"])))
 _add(
     "pages_with_redirects",
     f"SELECT id, url, coalesce((SELECT count(*) FROM p q WHERE q.redirectDestId = p.id), 0) AS n FROM p WHERE {_HTML}",
 )(lambda a, s, d: reads.pages_with_redirects(a["pages"], "page-included-no-target").select("id", "url", F.when(F.col("redirectFrom").isNull(), 0).otherwise(F.size("redirectFrom")).cast("long").alias("n")))
-_ROWS = """SELECT id, url, coalesce(title, '') AS title, status, contentType, lang, isExternal = 1 AS isExternal, isTarget = 1 AS isTarget, isSkipped = 1 AS isSkipped, skipReason,
+_META = "description, keywords, canonical, alternate, og_type, og_title, og_site_name, og_description, og_url, og_image, twitter_card, coalesce(noindex = 1, false) AS noindex, coalesce(nofollow = 1, false) AS nofollow, coalesce(noarchive = 1, false) AS noarchive"
+_ROWS = f"""SELECT id, url, coalesce(title, '') AS title, status, statusText, contentType, contentLength, CASE WHEN id % 7 = 0 THEN 'x' END AS server, lang, {_META}, isExternal = 1 AS isExternal, isTarget = 1 AS isTarget, isSkipped = 1 AS isSkipped, skipReason,
  coalesce(lower(trim(contentType)) = 'text/html', false) AS isPage, coalesce(lower(trim(contentType)) = 'text/html', false) AND isExternal = 0 AS isInternalPage FROM p"""
-_add("page_rows", _ROWS)(lambda a, s, d: reads.page_rows(a["pages"]))
-_add("page_json")(lambda a, s, d: reads.page_json(a["pages"]))
+_add("page_rows", _ROWS)(lambda a, s, d: reads.page_rows(a["pages"]).withColumn("server", F.try_element_at("responseHeaders", F.lit("server"))).drop("responseHeaders"))
+_add("page_json")(lambda a, s, d: reads.page_json(a["anchors"], a["pages"]))
+_add(
+    "pages_with_refs",
+    f"""{_LIMITED}, re AS (SELECT d.id, count(*) AS n, string_agg(s.url, ' ' ORDER BY s.id) AS t FROM p s JOIN p d ON s.redirectDestId = d.id GROUP BY d.id),
+ an AS (SELECT a.pageId AS id, count(*) AS n, string_agg(m."from" || ' ' || d.url || ' ' || coalesce(d.statusText, '-') || ' ' || coalesce(a.hash, '-'), ',' ORDER BY a.id) AS t
+  FROM a JOIN rmap m ON a.hrefId = m.fromId JOIN p d ON m.toId = d.id GROUP BY 1),
+ rf AS (SELECT m.toId AS id, count(*) AS n, string_agg(s.url || ' ' || m."from" || ' ' || coalesce(a.textContent, ''), ',' ORDER BY a.id) AS t
+  FROM a JOIN rmap m ON a.hrefId = m.fromId JOIN p s ON s.id = a.pageId GROUP BY 1)
+ SELECT lim.id, coalesce(re.n, 0) AS redirects, coalesce(re.t, '') AS redirectFrom, coalesce(an.n, 0) AS anchors, coalesce(an.t, '') AS links, coalesce(rf.n, 0) AS referrers, coalesce(rf.t, '') AS refs
+ FROM lim LEFT JOIN re USING (id) LEFT JOIN an USING (id) LEFT JOIN rf USING (id)""",
+)(lambda a, s, d: _flat_relations(reads.pages_with_refs(a["anchors"], a["pages"])))
+
+
+def _flat_relations(rows: DataFrame) -> DataFrame:
+    line = lambda *parts: F.concat_ws(" ", *[F.coalesce(x, F.lit("-")) for x in parts])
+    return rows.select(
+        "id", F.size("redirectFrom").cast("long").alias("redirects"), F.array_join(F.transform("redirectFrom", lambda x: x["from"]), " ").alias("redirectFrom"),
+        F.size("anchors").cast("long").alias("anchors"), F.array_join(F.transform("anchors", lambda x: line(x["href"], x["url"], x["statusText"], x["hash"])), ",").alias("links"),
+        F.size("referrers").cast("long").alias("referrers"), F.array_join(F.transform("referrers", lambda x: line(x["url"], x["through"], x["textContent"])), ",").alias("refs"),
+    )
+
+
 _add("response_headers_parse", "SELECT id, CASE WHEN id % 7 = 0 THEN 2 ELSE 0 END::BIGINT AS n, CASE WHEN id % 7 = 0 THEN 'x' END AS server FROM p")(
     lambda a, s, d: reads.parsed_headers(a["pages"]).select("id", F.size("headers").cast("long").alias("n"), F.try_element_at("headers", F.lit("server")).alias("server"))
 )
-_raw("config_roundtrip", "SELECT 3 AS retry, 'a,b' AS scope, '' AS excludes")(
-    lambda s, d: reads.config(s.createDataFrame([(None, '["a","b"]', "{bad")], "retry int, scope string, excludes string")).select("retry", F.array_join("scope", ",").alias("scope"), F.array_join("excludes", ",").alias("excludes"))
+_add("config_roundtrip", "SELECT 0::BIGINT AS id, 'crawl' AS name, 'https://a.example.com' AS baseUrl, 3 AS retry, 'https://a.example.com/,https://b.example.com/x' AS scope, '/x/*' AS excludes, '' AS excludeKeywords, '' AS excludeUrls, '' AS broken")(
+    lambda a, s, d: (lambda c: c.select("id", "name", "baseUrl", "retry", *[F.array_join(x, ",").alias(x) for x in ("scope", "excludes", "excludeKeywords", "excludeUrls")], F.array_join(reads.json_list(F.lit("{bad")), ",").alias("broken")))(
+        reads.config(reads.config_row(a["info"]))
+    )
 )
 _raw("html_of_page", "SELECT page_id AS id, nullif(html, '') AS html FROM pages")(lambda s, d: reads.html_of(s.read.parquet(f"{d}/pages.parquet").withColumnRenamed("page_id", "id")))
 
@@ -104,11 +128,10 @@ _raw("html_of_page", "SELECT page_id AS id, nullif(html, '') AS html FROM pages"
 _BAD = "(d.status IS NULL OR d.status = 0 OR (d.status >= 400 AND d.status <> 401))"
 _QUALITY = f"""{_LIMITED}, lq AS (SELECT a.pageId AS id, count(*) FILTER (WHERE d.isExternal = 0) AS iLinks, count(*) FILTER (WHERE d.isExternal = 1) AS xLinks,
  count(*) FILTER (WHERE d.isExternal = 0 AND {_BAD}) AS iBad, count(*) FILTER (WHERE d.isExternal = 1 AND {_BAD}) AS xBad,
- coalesce(string_agg(coalesce(a.textContent, 'null') || ' (' || coalesce(d.status::VARCHAR, 'null') || ' ' || CASE WHEN m."from" = d.url THEN d.url ELSE m."from" || ' => ' || d.url END || ')', chr(10) ORDER BY a.id) FILTER (WHERE d.isExternal = 0 AND {_BAD}), '') AS iBadNote
+ coalesce(string_agg(coalesce(a.textContent, 'null') || ' (' || coalesce(d.status::VARCHAR, 'null') || ' ' || coalesce(d.statusText, 'null') || ' ' || CASE WHEN m."from" = d.url THEN d.url ELSE m."from" || ' => ' || d.url END || ')', chr(10) ORDER BY a.id) FILTER (WHERE d.isExternal = 0 AND {_BAD}), '') AS iBadNote,
+ coalesce(string_agg(coalesce(a.textContent, 'null') || ' (' || coalesce(d.status::VARCHAR, 'null') || ' ' || coalesce(d.statusText, 'null') || ' ' || CASE WHEN m."from" = d.url THEN d.url ELSE m."from" || ' => ' || d.url END || ')', chr(10) ORDER BY a.id) FILTER (WHERE d.isExternal = 1 AND {_BAD}), '') AS xBadNote
  FROM a JOIN lim ON a.pageId = lim.id JOIN rmap m ON a.hrefId = m.fromId JOIN p d ON m.toId = d.id GROUP BY a.pageId)"""
-_add("page_link_quality", f"{_QUALITY} SELECT id AS pageId, iLinks, xLinks, iBad, xBad, iBadNote FROM lq")(
-    lambda a, s, d: views.link_quality(a["anchors"], a["pages"]).drop("xBadNote")
-)
+_add("page_link_quality", f"{_QUALITY} SELECT id AS pageId, iLinks, xLinks, iBad, xBad, iBadNote, xBadNote FROM lq")(lambda a, s, d: views.link_quality(a["anchors"], a["pages"]))
 _PATH = "string_split(regexp_extract(url, '^[a-z]+://[^/?#]*/([^?#]*)', 1), '/')"
 _QUERY = "regexp_extract(url, '^[^?#]*[?]([^#]*)', 1)"
 _add(
@@ -116,8 +139,9 @@ _add(
     f"""SELECT id, len({_PATH}) AS depth, '/' || {_PATH}[1] || CASE WHEN len({_PATH}) = 1 AND {_QUERY} <> '' THEN '?' || {_QUERY} ELSE '' END AS path1,
  '/' || {_PATH}[2] || CASE WHEN len({_PATH}) = 2 AND {_QUERY} <> '' THEN '?' || {_QUERY} ELSE '' END AS path2 FROM p""",
 )(lambda a, s, d: views.path_columns(a["pages"]).select("id", F.col("depth").cast("long"), "path1", "path2"))
-_DIRS = f"""{_LIMITED}, u AS (SELECT p.id, lim.ord, title, {_PATH} AS ps FROM p JOIN lim USING (id)),
- b AS (SELECT id, ord, title, (ps[-1] = '' OR regexp_matches(ps[-1], '^index[.]')) AS ix, '/' || array_to_string(ps[1:len(ps)-1], '/') AS dir, '/' || array_to_string(ps[1:greatest(len(ps)-2, 0)], '/') AS up FROM u)"""
+_HOST = "regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)"
+_DIRS = f"""{_LIMITED}, u AS (SELECT p.id, lim.ord, title, {_PATH} AS ps, {_HOST} AS host FROM p JOIN lim USING (id) WHERE isExternal = 0 AND isTarget = 1 AND lower(trim(contentType)) = 'text/html'),
+ b AS (SELECT id, ord, title, (ps[-1] = '' OR regexp_matches(ps[-1], '^index[.]')) AS ix, host || '/' || array_to_string(ps[1:len(ps)-1], '/') AS dir, host || '/' || array_to_string(ps[1:greatest(len(ps)-2, 0)], '/') AS up FROM u)"""
 _add(
     "title_shortening",
     f"""{_DIRS}, r AS (SELECT id, ord, dir AS key, 0 AS which, NULL::VARCHAR AS given FROM b UNION ALL SELECT id, ord, up, 1, NULL::VARCHAR FROM b UNION ALL SELECT id, ord, dir, 2, title FROM b WHERE ix),
@@ -126,32 +150,49 @@ _add(
  c AS (SELECT b.id, b.title, CASE WHEN ix THEN coalesce(parent, own) ELSE coalesce(own, parent) END AS cut FROM b JOIN f USING (id)),
  x AS (SELECT *, trim(replace(replace(substr(title, 1, strpos(title, cut) - 1) || substr(title, strpos(title, cut) + length(cut)), '|', ''), '｜', '')) AS short FROM c)
  SELECT id, CASE WHEN cut IS NOT NULL AND strpos(title, cut) > 0 AND short <> '' THEN short ELSE title END AS title FROM x""",
-)(lambda a, s, d: views.short_titles(reads.with_order(a["pages"]).filter("redirectDestId IS NULL")))
+)(lambda a, s, d: views.short_titles(views.listed(reads.with_order(a["pages"]))))
 _IDX = f"""{_DIRS}, n AS (SELECT m.toId AS id, count(*) AS n FROM a JOIN rmap m ON a.hrefId = m.fromId JOIN lim ON lim.id = m.toId JOIN p s ON s.id = a.pageId GROUP BY 1),
  g AS (SELECT b.id, ix, ord, dir, coalesce(n.n, 0) AS n FROM b LEFT JOIN n USING (id)),
  ir AS (SELECT id, (CASE WHEN ix AND row_number() OVER (PARTITION BY ix, dir ORDER BY ord ASC NULLS LAST, id) > 1 THEN sum(n) OVER (PARTITION BY ix, dir) ELSE n END)::BIGINT AS referrers FROM g)"""
-_add("index_referrers", f"{_IDX} SELECT id, referrers FROM ir")(lambda a, s, d: views.index_referrers(a["anchors"], a["pages"]))
+_add("index_referrers", f"{_IDX} SELECT id, referrers FROM ir")(lambda a, s, d: views.index_referrers(a["anchors"], a["pages"], views.listed(reads.with_order(a["pages"]))))
 _REDIR = """SELECT d.id, count(*) AS redirects, string_agg(s.url, chr(10) ORDER BY s.id) AS redirectNote FROM p s JOIN p d ON s.redirectDestId = d.id GROUP BY d.id"""
 _add("page_redirect_from", _REDIR)(lambda a, s, d: views.redirect_from(a["pages"]))
-_LIST = f"""{_IDX}, lq AS (SELECT a.pageId AS id, count(*) FILTER (WHERE d.isExternal = 0) AS iLinks, count(*) FILTER (WHERE d.isExternal = 1) AS xLinks,
- count(*) FILTER (WHERE d.isExternal = 0 AND {_BAD}) AS iBad, count(*) FILTER (WHERE d.isExternal = 1 AND {_BAD}) AS xBad
- FROM a JOIN lim ON a.pageId = lim.id JOIN rmap m ON a.hrefId = m.fromId JOIN p d ON m.toId = d.id GROUP BY a.pageId), rd AS ({_REDIR}),
- pl AS (SELECT p.id, p.url, coalesce(nullif(p.status, 0), -1) AS status, p.lang, coalesce(iLinks, 0) AS iLinks, coalesce(xLinks, 0) AS xLinks, coalesce(iBad, 0) AS iBad, coalesce(xBad, 0) AS xBad,
- coalesce(ir.referrers, 0) AS referrers, coalesce(rd.redirects, 0) AS redirects
- FROM p JOIN lim USING (id) LEFT JOIN lq USING (id) LEFT JOIN ir USING (id) LEFT JOIN rd USING (id)
- WHERE p.isExternal = 0 AND p.isTarget = 1 AND lower(trim(p.contentType)) = 'text/html')"""
-_add("view_page_list", f"{_LIST} SELECT * FROM pl")(lambda a, s, d: views.page_list(a["anchors"], a["pages"]).drop("title"))
+_SHORT = """r AS (SELECT id, ord, dir AS key, 0 AS which, NULL::VARCHAR AS given FROM b UNION ALL SELECT id, ord, up, 1, NULL::VARCHAR FROM b UNION ALL SELECT id, ord, dir, 2, title FROM b WHERE ix),
+ t AS (SELECT *, nullif(last_value(given IGNORE NULLS) OVER (PARTITION BY key ORDER BY ord ASC NULLS LAST, id, which ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS t FROM r),
+ f AS (SELECT id, max(t) FILTER (WHERE which = 0) AS own, max(t) FILTER (WHERE which = 1) AS parent FROM t GROUP BY id),
+ c AS (SELECT b.id, b.title, CASE WHEN ix THEN coalesce(parent, own) ELSE coalesce(own, parent) END AS cut FROM b JOIN f USING (id)),
+ x AS (SELECT *, trim(replace(replace(substr(title, 1, strpos(title, cut) - 1) || substr(title, strpos(title, cut) + length(cut)), '|', ''), '｜', '')) AS short FROM c),
+ st AS (SELECT id, CASE WHEN cut IS NOT NULL AND strpos(title, cut) > 0 AND short <> '' THEN short ELSE title END AS title FROM x)"""
+_CELL = lambda i: f"CASE WHEN len({_PATH}) >= {i} THEN '/' || {_PATH}[{i}] || CASE WHEN len({_PATH}) = {i} AND {_QUERY} <> '' THEN '?' || {_QUERY} ELSE '' END END AS path{i}"
+_TEXTS = ", ".join(f"coalesce({c}, '') AS {c}" for c in reads.META)
+_LIST = f"""{_IDX}, {_SHORT}, {_QUALITY.removeprefix(_LIMITED)[2:]}, rd AS ({_REDIR}),
+ pl AS (SELECT p.id, ord.ord AS "order", st.title, coalesce(p.title, '') AS fullTitle, p.url, regexp_extract(p.url, '^([a-z]+:)', 1) AS protocol, {_HOST} AS domain, {", ".join(map(_CELL, range(1, 11)))},
+ coalesce(nullif(p.status, 0), -1) AS status, coalesce(nullif(p.lang, ''), 'N/A') AS lang, coalesce(iLinks, 0) AS iLinks, coalesce(xLinks, 0) AS xLinks, coalesce(iBad, 0) AS iBad, coalesce(xBad, 0) AS xBad,
+ coalesce(ir.referrers, 0) AS referrers, coalesce(rd.redirects, 0) AS redirects, {_TEXTS}, coalesce(noindex = 1, false) AS noindex, coalesce(nofollow = 1, false) AS nofollow, coalesce(noarchive = 1, false) AS noarchive,
+ coalesce(redirectNote, '') AS redirectNote, coalesce(iBadNote, '') AS iBadNote, coalesce(xBadNote, '') AS xBadNote
+ FROM p JOIN b USING (id) JOIN ord USING (id) JOIN st USING (id) LEFT JOIN lq USING (id) LEFT JOIN ir USING (id) LEFT JOIN rd USING (id))"""
+_add("view_page_list", f"{_LIST} SELECT * FROM pl")(lambda a, s, d: views.page_list(a["anchors"], a["pages"]))
+_add("view_page_list_plugins", f"{_LIST} SELECT id, title, CASE WHEN id % 2 = 0 THEN 'v' || id END AS c0, CASE WHEN id % 3 = 0 THEN 'w' || id END AS c1 FROM pl")(
+    lambda a, s, d: views.page_list(a["anchors"], a["pages"], _page_cells(a["pages"]), ["c0", "c1"]).select("id", "title", "c0", "c1")
+)
+
+
+def _page_cells(pages: DataFrame) -> DataFrame:
+    cell = lambda k, mark: pages.filter(F.col("id") % (k + 2) == 0).select("url", F.lit(f"c{k}").alias("col"), F.concat(F.lit(mark), "id").alias("value"))
+    return cell(0, "v").union(cell(1, "w"))
+
+
 _add(
     "flags_page_list",
-    f"""{_LIST} SELECT id, iBad <> 0 OR xBad <> 0 AS badLinks, lang = 'N/A' AS noLang, referrers < 2 AS fewReferrers,
+    f"""{_LIST} SELECT id, iBad <> 0 OR xBad <> 0 AS badLinks, lang = 'N/A' AS noLang, referrers < 2 AS fewReferrers, regexp_matches(title, '(?i)(^| )(401|403|404|500|501|502|503)') AS errorTitle,
  regexp_matches(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '(?i)(^/_|_$|_copy|-copy|copy_|copy-|dummy)') AS oddPath, starts_with(url, 'http:') AS plainHttp, status < 200 OR status > 399 AS badStatus FROM pl""",
-)(lambda a, s, d: views.page_flags(views.page_list(a["anchors"], a["pages"])).drop("errorTitle"))
-_add("page_max_depth", f"SELECT max(len({_PATH}))::BIGINT AS max_depth FROM p")(lambda a, s, d: views.max_depth(a["pages"]).select(F.col("max_depth").cast("long")))
+)(lambda a, s, d: views.page_flags(views.page_list(a["anchors"], a["pages"])))
+_add("page_max_depth", f"SELECT max(len({_PATH}))::BIGINT AS max_depth FROM p WHERE redirectDestId IS NULL AND isExternal = 0 AND isTarget = 1 AND lower(trim(contentType)) = 'text/html'")(lambda a, s, d: views.max_depth(a["pages"]).select(F.col("max_depth").cast("long")))
 _LINKS = f"""{_LIMITED}, rf AS (SELECT m.toId AS id, count(*) AS n, string_agg(coalesce(nullif(a.textContent, ''), '__NO_TEXT_CONTENT__') || ' (' || s.url || coalesce('#' || a.hash, '')
  || CASE WHEN m."from" = m."to" THEN '' ELSE ' => [REDIRECTED FROM] ' || m."from" END || ')', chr(10) ORDER BY a.id) AS note
  FROM a JOIN rmap m ON a.hrefId = m.fromId JOIN lim ON lim.id = m.toId JOIN p s ON s.id = a.pageId GROUP BY 1), rd AS ({_REDIR}),
- lv AS (SELECT p.id, p.url, coalesce(nullif(p.title, ''), '-') AS title, coalesce(nullif(p.status, 0), -1) AS status, coalesce(p.contentType, '') AS contentType, coalesce(rd.redirects, 0) AS redirects,
- coalesce(rd.redirectNote, '') AS redirectNote, coalesce(rf.n, 0) || ' Elements' AS referrers, coalesce(rf.note, '') AS referrerNote,
+ lv AS (SELECT p.id, p.url, coalesce(nullif(p.title, ''), '-') AS title, coalesce(nullif(p.status, 0), -1) AS status, coalesce(p.statusText, '') AS statusText, coalesce(p.contentType, '') AS contentType, coalesce(rd.redirects, 0) AS redirects,
+ coalesce(rd.redirectNote, '') AS redirectNote, coalesce(rf.n, 0) || ' Elements' AS referrers, coalesce(rf.note, '') AS referrerNote, CASE WHEN p.id % 7 = 0 THEN '{{"server":"x","age":"1"}}' ELSE '{{}}' END AS headers,
  CASE WHEN isSkipped = 1 THEN coalesce(nullif(skipReason, ''), 'skipped') ELSE '' END AS remarks FROM p JOIN lim USING (id) LEFT JOIN rf USING (id) LEFT JOIN rd USING (id))"""
 _add("view_links", f"{_LINKS} SELECT * FROM lv")(lambda a, s, d: views.links(a["anchors"], a["pages"]))
 _add("flags_links", f"{_LINKS} SELECT id, status >= 400 AS failed, remarks <> '' AS skipped FROM lv")(lambda a, s, d: views.link_flags(views.links(a["anchors"], a["pages"])))
@@ -185,7 +226,6 @@ def _u():
     return F.col("url")
 
 
-_HOST = "regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)"
 _raw(
     "url_parts",
     f"""SELECT page_id AS id, {_HOST} AS hostname, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS pathname, len({_PATH}) AS depth, {_PATH}[-1] AS basename,
@@ -204,9 +244,14 @@ _raw(
 )
 _raw(
     "url_reconstruct",
-    f"""SELECT page_id AS id, regexp_extract(url, '^([a-z]+://[^/?#]*/)', 1) || array_to_string(list_concat(['new'], {_PATH}[2:]), '/') AS u FROM pages WHERE {_QUERY} = '' AND len({_PATH}) > 0""",
-)(lambda s, d: _pages(s, d).filter(urls.query(_u()) == "").select("id", urls.reconstructed(urls.decomposed(_u()), F.lit(0), F.lit("new")).alias("u")))
-_raw("url_decode", "SELECT page_id AS id, url AS u FROM pages")(lambda s, d: _pages(s, d).select("id", urls.decode_safely(urls.encode_component(_u())).alias("u")))
+    f"""SELECT page_id AS id, regexp_extract(url, '^([a-z]+://[^/?#]*/)', 1) || array_to_string(list_concat(['new'], {_PATH}[2:]), '/')
+ || CASE WHEN {_QUERY} <> '' THEN '?' || array_to_string(list_sort(string_split({_QUERY}, '&')), '&') ELSE '' END AS u FROM pages""",
+)(lambda s, d: _pages(s, d).select("id", urls.reconstructed(urls.decomposed(_u()), F.lit(0), F.lit("new")).alias("u")))
+_raw("url_decode", "SELECT page_id AS id, url AS u, 'a b+' || page_id AS blank, 'x%zz' || page_id AS broken FROM pages")(
+    lambda s, d: _pages(s, d).select(
+        "id", urls.decode_safely(urls.encode_component(_u())).alias("u"), urls.decode_safely(F.concat(F.lit("a%20b+"), "id")).alias("blank"), urls.decode_safely(F.concat(F.lit("x%zz"), "id")).alias("broken")
+    )
+)
 _HOSTS = ["blog.tionsh.example.net", "www.ththhe.example.com"]
 _raw("scope_external", f"SELECT page_id AS id, {_HOST} NOT IN ('{_HOSTS[0]}', '{_HOSTS[1]}') AS ext FROM pages")(lambda s, d: _pages(s, d).select("id", urls.is_external(_u(), _HOSTS).alias("ext")))
 _raw("scope_lower_layer", f"SELECT page_id AS id, ({_HOST} = '{_HOSTS[0]}' AND {_PATH}[1] = 'en') OR {_HOST} = '{_HOSTS[1]}' AS low FROM pages")(
@@ -216,7 +261,13 @@ _raw(
     "scope_best_match",
     f"""SELECT page_id AS id, CASE WHEN {_HOST} = '{_HOSTS[0]}' AND {_PATH}[1] = 'en' THEN 'https://{_HOSTS[0]}/en/' WHEN {_HOST} IN ('{_HOSTS[0]}', '{_HOSTS[1]}') THEN 'https://' || {_HOST} || '/' END AS scope FROM pages""",
 )(lambda s, d: urls.best_scope(_pages(s, d), s.createDataFrame([(0, f"https://{_HOSTS[0]}/"), (1, f"https://{_HOSTS[0]}/en/"), (2, f"https://{_HOSTS[1]}/")], "pos int, scope string")).select("id", "scope"))
-_raw("scope_auth", f"SELECT page_id AS id, regexp_replace(url, '^([a-z]+://)', '\\1u:p@') AS u FROM pages")(lambda s, d: _pages(s, d).select("id", urls.with_auth(_u(), F.lit("u"), F.lit("p")).alias("u")))
+_raw(
+    "scope_auth",
+    f"SELECT page_id AS id, CASE WHEN {_HOST} = '{_HOSTS[0]}' AND {_PATH}[1] = 'en' THEN regexp_replace(url, '^([a-z]+://)', '\\1u:p@') WHEN {_HOST} = '{_HOSTS[0]}' THEN regexp_replace(url, '^([a-z]+://)', '\\1v@') ELSE url END AS u FROM pages",
+)(
+    lambda s, d: urls.with_scope_auth(_pages(s, d), s.createDataFrame([(0, f"https://v@{_HOSTS[0]}/"), (1, f"https://u:p@{_HOSTS[0]}/en/"), (2, f"https://{_HOSTS[1]}/")], "pos int, scope string"))
+    .select("id", F.col("address").alias("u"))
+)
 _raw(
     "skip_excluded",
     f"SELECT page_id AS id, starts_with(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/en/') OR starts_with(regexp_replace(url, '^https?:', ''), '//{_HOSTS[1]}') AS skip FROM pages",
@@ -263,7 +314,7 @@ _add("pagination_discard", "SELECT id FROM p WHERE isSkipped = 0 AND status BETW
 )
 
 
-@_add("crawl_frontier", ", reach AS (SELECT 0::BIGINT AS id UNION SELECT a.hrefId FROM reach JOIN a ON a.pageId = reach.id WHERE a.id % 5 < 2) SELECT id FROM reach")
+@_add("crawl_frontier", ", reach AS (SELECT 0::BIGINT AS id UNION SELECT a.hrefId FROM reach JOIN a ON a.pageId = reach.id) SELECT id FROM reach")
 def _frontier(a, s, d):
     from siteloom.sources.scratch import kept
 
@@ -271,6 +322,30 @@ def _frontier(a, s, d):
     return crawl.reachable(s.range(1), edges, kept).select("id")
 
 
+_KEY = "regexp_replace(regexp_replace({0}, '#.*$', ''), '^https?:', '')"
+
+
+@_add(
+    "crawl_corpus",
+    f""", inner_ AS (SELECT {_KEY.format("s.url")} AS src, {_KEY.format("d.url")} AS dst, d.isExternal FROM a JOIN p s ON s.id = a.pageId JOIN p d ON d.id = a.hrefId),
+ first_ AS (SELECT {_KEY.format("url")} AS key FROM p WHERE isExternal = 0 ORDER BY id LIMIT 1),
+ reach AS (SELECT key, 'full' AS mode FROM first_ UNION SELECT dst, CASE WHEN l.isExternal = 0 THEN 'full' ELSE 'metadata' END FROM reach JOIN inner_ l ON l.src = reach.key WHERE reach.mode = 'full')
+ SELECT key, mode, 'fetch' AS action FROM reach""",
+)
+def _crawl(a, s, d):
+    """All hosts under example.com are the scope; links carry fragments, which must not hide their pages."""
+    from siteloom.plans import commands
+    from siteloom.sources.scratch import kept
+
+    p = a["pages"]
+    target = p.select(F.col("id").alias("hrefId"), F.concat("url", F.lit("#part")).alias("href"))
+    links = a["anchors"].join(target, "hrefId").join(p.select(F.col("id").alias("pageId"), "url"), "pageId").select("url", "href", (F.col("id") % 5).alias("pos"))
+    hosts = [r[0] for r in p.filter("isExternal = 0").select(urls.host(_u())).distinct().collect()]  # the crawl's scope, an option
+    start = p.filter("isExternal = 0").orderBy("id").select(F.concat("url", F.lit("#top"))).first()[0]
+    config = crawl.CrawlConfig(scope=[f"https://{h}/" for h in hosts])
+    return commands.crawl_corpus(p, links, [start], config, kept).select("key", "mode", "action")
+
+
 _add(
     "follow_rule",
     "SELECT id, CASE WHEN isExternal = 0 AND id % 2 = 0 THEN 'full' WHEN isExternal = 1 THEN 'metadata' END AS mode FROM p",
@@ -333,7 +408,7 @@ _raw(
     """SELECT count(*) AS n, min(id) AS lo, max(id) AS hi FROM (SELECT page_id AS id FROM pages WHERE page_id < 10
  UNION ALL SELECT 9 + row_number() OVER () FROM (SELECT DISTINCT url FROM pages WHERE url NOT IN (SELECT url FROM pages WHERE page_id < 10)))""",
 )(lambda s, d: (lambda p: writes.ids_for_urls(p.filter("id < 10"), p).agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi")))(_pages(s, d)))
-_add("url_order")(lambda a, s, d: writes.url_order(a["pages"], urls.natural_key(_u())).select("id", "url", "order"))
+_add("url_order", 'SELECT id, url, ord AS "order" FROM p JOIN ord USING (id)')(lambda a, s, d: writes.url_order(a["pages"], urls.natural_key(_u())).select("id", "url", "order"))
 
 # pages' HTML
 
@@ -356,7 +431,19 @@ def _html(s, d):
 
 _raw("html_meta")(lambda s, d: html.parsed(_html(s, d)).select("id", "meta.*"))
 _raw("main_contents")(lambda s, d: html.parsed(_html(s, d), "article").select("id", "main.*"))
-_raw("view_images")(lambda s, d: views.images(html.parsed(_html(s, d)), _html(s, d)))
+_raw(
+    "view_images",
+    """SELECT page_id AS id, url, pos, CASE WHEN pos = 0 THEN regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || '/i' || page_id || '.png' ELSE 'https://c.example/x.jpg' END AS src, '' AS currentSrc,
+ CASE WHEN pos = 0 THEN 'a b' ELSE '' END AS alt, CASE WHEN pos = 0 THEN 10 ELSE 0 END::DOUBLE AS width, CASE WHEN pos = 0 THEN 20 ELSE 0 END::DOUBLE AS height, pos = 1 AS isLazy,
+ CASE WHEN pos = 0 THEN '<img src="/i' || page_id || '.png" alt="a b" width=10 height=20>' ELSE '<img loading=lazy src=https://c.example/x.jpg>' END AS sourceCode FROM pages, range(2) t(pos)""",
+)(lambda s, d: views.images(html.parsed(_with_images(_html(s, d))), _html(s, d)))
+
+
+def _with_images(pages: DataFrame) -> DataFrame:
+    first = F.concat(F.lit('<img src="/i'), "id", F.lit('.png" alt="a b" width=10 height=20>'))
+    return pages.withColumn("html", F.concat(first, "html", F.lit("<img loading=lazy src=https://c.example/x.jpg>")))
+
+
 _SEARCH = {"keywords": ["/(the) (and)/i"], "selectors": ["article h1", "main", "div.ad", "nav > ul > li a[href]", "a:::"]}
 _raw("search_keywords")(lambda s, d: analyzers.merged(analyzers.analyze(_html(s, d), [analyzers.search(_SEARCH)])).filter("col LIKE 'keyword%'").select("url", "col", "value"))
 _raw(
@@ -365,8 +452,19 @@ _raw(
 )(lambda s, d: analyzers.merged(analyzers.analyze(_html(s, d), [analyzers.search(_SEARCH)])).filter("col LIKE 'selector%'").select("url", "col", "value"))
 _raw(
     "lint_rules",
-    "SELECT count(*) AS n, count(DISTINCT url) AS urls, 'rules' AS validator, 'title' AS rule FROM pages WHERE NOT contains(html, '<title>') HAVING count(*) > 0",
-)(lambda s, d: analyzers.violation_summary(analyzers.analyze(_html(s, d), [analyzers.rules({})]).filter("kind = 'violation'")).select("n", "urls", "validator", "rule"))
+    """SELECT 'rules' AS validator, severity, rule, count(*) AS n, count(DISTINCT url) AS urls FROM pages, (VALUES ('error', 'title', 3), ('error', 'html-lang', 4), ('error', 'img-alt', 5), ('error', 'id-duplication', 6), ('warning', 'heading-levels', 7)) t(severity, rule, k)
+ WHERE page_id % k = 0 GROUP BY severity, rule""",
+)(lambda s, d: analyzers.violation_summary(analyzers.analyze(_faulty(_html(s, d)), [analyzers.rules({})]).filter("kind = 'violation'")))
+
+
+def _faulty(pages: DataFrame) -> DataFrame:
+    """Pages with one fault each for every divisor of their id from 3 to 7."""
+    marks = {5: "<img src='x'>", 6: "<b id='q'></b><b id='q'></b>", 7: "<h1>a</h1><h3>b</h3>"}
+    out = F.when(F.col("id") % 3 == 0, F.regexp_replace("html", "<title>[^<]*</title>", "")).otherwise(F.col("html"))
+    out = F.when(F.col("id") % 4 == 0, F.regexp_replace(out, '<html lang="[^"]*">', "<html>")).otherwise(out)
+    for k, mark in marks.items():
+        out = F.concat(out, F.when(F.col("id") % k == 0, mark).otherwise(""))
+    return pages.withColumn("html", out)
 
 
 def _cells(s, d):
@@ -397,15 +495,16 @@ _raw(
 _raw(
     "markup_cells", "SELECT 'u/' || (l_orderkey % 100) AS url, count(*)::VARCHAR AS value FROM lineitem GROUP BY 1"
 )(lambda s, d: analyzers.markup_cells(_findings(s, d)).select("url", "value"))
-_raw("view_violations", "SELECT 'markup' AS validator, 'rule' || (l_partkey % 7) AS rule, '' AS code, 'm' AS message, 'u/' || (l_orderkey % 100) || ' (' || l_orderkey || ':' || l_partkey || ')' AS url FROM lineitem")(
-    lambda s, d: views.violations(analyzers.markup(_findings(s, d)).select(F.array(F.struct("validator", F.col("severity").cast("string").alias("severity"), "rule", "code", "message", "url")).alias("violations"))).drop("severity")
+_raw("view_violations", "SELECT 'markup' AS validator, (l_linenumber % 2)::VARCHAR AS severity, 'rule' || (l_partkey % 7) AS rule, '' AS code, 'm' AS message, 'u/' || (l_orderkey % 100) || ' (' || l_orderkey || ':' || l_partkey || ')' AS url FROM lineitem")(
+    lambda s, d: views.violations(analyzers.markup(_findings(s, d)).select(F.array(F.struct("validator", F.col("severity").cast("string").alias("severity"), "rule", "code", "message", "url")).alias("violations")))
 )
 _raw(
     "accessibility_violations",
-    "SELECT 'u/' || (l_orderkey % 100) AS url, CASE WHEN l_linenumber % 2 = 0 THEN 'serious' ELSE 'error' END AS severity, CASE WHEN l_linenumber % 2 = 0 THEN 'rule' || (l_partkey % 7) ELSE 'UNKNOWN_RULE' END AS rule, 'a' || chr(10) || 'b' AS code FROM lineitem",
+    """SELECT 'u/' || (l_orderkey % 100) AS url, CASE WHEN l_linenumber % 2 = 0 THEN 'serious' ELSE 'error' END AS severity, CASE WHEN l_linenumber % 2 = 0 THEN 'rule' || (l_partkey % 7) ELSE 'UNKNOWN_RULE' END AS rule, 'a' || chr(10) || 'b' AS code
+ FROM (SELECT *, CASE l_orderkey % 4 WHEN 0 THEN 'passes' WHEN 1 THEN 'violations' WHEN 2 THEN 'incomplete' END AS o FROM lineitem) WHERE (o IN ('violations', 'incomplete') AND l_linenumber % 2 = 0) OR o IS NULL""",
 )(
     lambda s, d: analyzers.accessibility(
-        _findings(s, d).select("url", F.lit("violations").alias("outcome"), F.when(F.col("severity") == 0, "serious").alias("impact"), F.when(F.col("severity") == 0, F.col("ruleId")).alias("rule"), "message", F.array(F.lit("a"), F.lit("b")).alias("nodes"))
+        _findings(s, d).select("url", F.when(F.col("line") % 4 == 0, "passes").when(F.col("line") % 4 == 1, "violations").when(F.col("line") % 4 == 2, "incomplete").alias("outcome"), F.when(F.col("severity") == 0, "serious").alias("impact"), F.when(F.col("severity") == 0, F.col("ruleId")).alias("rule"), "message", F.array(F.lit("a"), F.lit("b")).alias("nodes"))
     ).select("url", "severity", "rule", "code")
 )
 _raw(

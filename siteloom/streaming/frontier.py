@@ -22,6 +22,7 @@ def run_available(spark: SparkSession, source: str, schema: str, sink: str, chec
     return spark.read.parquet(sink)
 
 
-def resource_events(stream: DataFrame) -> DataFrame:
-    """Stream of (url, pageUrl): resources by address without fragment, once; referrers are emitted always."""
-    return stream.withColumn("url", urls.without_hash(F.col("url"))).dropDuplicates(["url"])
+def resource_events(stream: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of a stream of (url, pageUrl): resources by address without fragment, once, and a referrer (url, pageUrl) for every row."""
+    bare = stream.withColumn("url", urls.without_hash(F.col("url")))
+    return bare.drop("pageUrl").dropDuplicates(["url"]), bare.select("url", "pageUrl")
