@@ -681,8 +681,14 @@ def test_decontamination_of_common_seeds(monkeypatch):
 def test_decontamination_in_slices(spark, docs, monkeypatch):
     benchmark = spark.createDataFrame([(k, f"{PASSAGE} {k}" if k == 3 else " ".join(f"q{k}w{i}" for i in range(20))) for k in range(12)], "item_id long, text string")
     monkeypatch.setattr(decontaminate, "SLICE", 100)
-    held, whole = [], decontaminate.Index
-    monkeypatch.setattr(decontaminate, "Index", lambda items: held.append(sum(len(decontaminate.words(t)) for _, t, *_ in items)) or whole(items))
+    held, whole = [], decontaminate._index
+
+    def index(*args):
+        made = whole(*args)
+        held.append(sum(map(len, made.value.items)))
+        return made
+
+    monkeypatch.setattr(decontaminate, "_index", index)
     assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, benchmark).collect()} == {(50, 3), (51, 3)}
     assert decontaminate.clean(docs, benchmark).count() == docs.count() - 2
     assert len(held) > 4 and max(held) <= 200  # slices of about SLICE words, however many there are
