@@ -20,10 +20,16 @@ from pyspark.sql.functions import pandas_udf
 from siteloom.llm.common import small_batches
 
 DIMENSIONS = 1024
-SLOTS = 64  # letter vectors: 0 is the gap between words, 1-26 are a-z, other letters share the rest by a hash of their code point
+#: Letter vectors: 0 is the gap between words, 1-26 are a-z, the next SHARED are for the letters of each script of thousands
+#: (ideographs, then Hangul), whose n-grams would else hardly recur; other letters have the rest. All go by a hash of their
+#: code point, so letters of an alphabet seldom share one and those of different scripts of thousands never do.
+SLOTS = 4096
+SHARED = 64
+BITS = 12  # of a slot's number in an n-gram's code
 SEED = 20240229
-#: Languages whose n-gram counts a task holds at once (2 MB each).
+#: Languages whose n-grams a task gathers at once, and n-grams of a language that are bundled at a time (2 MB each).
 OPEN_LANGUAGES = 32
+OPEN_NGRAMS = 1 << 18
 UNKNOWN = "und"
 #: Cosines of unlike texts scatter by NOISE whatever their length: none is a likeness up to twice that, any from four times on.
 NOISE = DIMENSIONS**-0.5
@@ -37,12 +43,20 @@ _tables: list = []
 def _letters() -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
     """Slot of every code point, and the letters' vectors rotated for each of the three places."""
     if not _tables:
-        slot = np.zeros(0x110000, np.uint8)
+        slot = np.zeros(0x110000, np.uint16)
         for point in range(0x110000):
             char = chr(point)
             if char.isalpha():
                 low = ord(char.lower()[0])
-                slot[point] = low - 96 if 97 <= low <= 122 else 27 + (low * 2654435761 >> 12) % (SLOTS - 27)
+                hashed = low * 2654435761 >> 12
+                if 97 <= low <= 122:
+                    slot[point] = low - 96
+                elif 0x3400 <= low < 0xA000 or 0xF900 <= low < 0xFB00 or low >= 0x20000:
+                    slot[point] = 27 + hashed % SHARED
+                elif 0xAC00 <= low < 0xD7B0:
+                    slot[point] = 27 + SHARED + hashed % SHARED
+                else:
+                    slot[point] = 27 + 2 * SHARED + hashed % (SLOTS - 27 - 2 * SHARED)
         vectors = np.random.default_rng(SEED).choice(np.array([-1, 1], np.int8), (SLOTS, DIMENSIONS))
         _tables.append((slot, tuple(np.roll(vectors, k, axis=1) for k in (2, 1, 0))))
     return _tables[0]
@@ -52,20 +66,25 @@ def ngrams(text: str | None) -> np.ndarray:
     """Codes of the letter trigrams, runs of other characters being one gap; empty if there is no letter."""
     slot, _ = _letters()
     points = np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), np.uint32)
-    s = np.concatenate((np.zeros(1, np.uint8), slot[points], np.zeros(1, np.uint8)))
+    gap = np.zeros(1, np.uint16)
+    s = np.concatenate((gap, slot[points], gap))
     s = s[np.concatenate(([True], (s[1:] != 0) | (s[:-1] != 0)))].astype(np.int64)
     if len(s) < 3:
         return np.zeros(0, np.int64)
-    return s[:-2] << 12 | s[1:-1] << 6 | s[2:]
+    return s[:-2] << 2 * BITS | s[1:-1] << BITS | s[2:]
+
+
+def _bound(c: np.ndarray) -> np.ndarray:
+    """The n-grams' vectors: the letters' rotated ones, multiplied."""
+    _, (first, second, third) = _letters()
+    return first[c >> 2 * BITS] * second[c >> BITS & SLOTS - 1] * third[c & SLOTS - 1]
 
 
 def bundle(codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Sum of the n-grams' vectors, each as often as it occurs."""
-    _, (first, second, third) = _letters()
     total = np.zeros(DIMENSIONS)
     for at in range(0, len(codes), 4096):
-        c = codes[at : at + 4096]
-        bound = first[c >> 12] * second[c >> 6 & 63] * third[c & 63]
+        bound = _bound(codes[at : at + 4096])
         total += counts[at : at + 4096].astype(np.float32 if counts.max() < 4096 else float) @ bound.astype(np.float32)
     return total
 
@@ -81,23 +100,25 @@ def learn(labelled: DataFrame) -> dict[str, np.ndarray]:
 
     def profiles(batches):
         sums: dict[str, np.ndarray] = {}
-        open_: dict[str, np.ndarray] = {}
+        open_: dict[str, list[np.ndarray]] = {}
+        sizes: dict[str, int] = {}
 
-        def close():
-            for lang, counts in open_.items():
-                codes = np.flatnonzero(counts)
-                sums[lang] = sums.get(lang, 0) + np.rint(_exact(codes, counts[codes])).astype(np.int64)
-            open_.clear()
+        def close(lang):
+            codes, counts = np.unique(np.concatenate(open_.pop(lang)), return_counts=True)
+            sums[lang] = sums.get(lang, 0) + np.rint(_exact(codes, counts)).astype(np.int64)
+            del sizes[lang]
 
         for batch in batches:
             for text, lang in zip(batch["text"], batch["lang"], strict=True):
-                if lang not in open_:
-                    if len(open_) >= OPEN_LANGUAGES:
-                        close()
-                    open_[lang] = np.zeros(SLOTS**3, np.int64)
-                codes, counts = np.unique(ngrams(text), return_counts=True)
-                open_[lang][codes] += counts
-        close()
+                if lang not in open_ and len(open_) >= OPEN_LANGUAGES:
+                    close(max(sizes, key=sizes.get))
+                codes = ngrams(text)
+                open_.setdefault(lang, []).append(codes)
+                sizes[lang] = sizes.get(lang, 0) + len(codes)
+                if sizes[lang] >= OPEN_NGRAMS:
+                    close(lang)
+        for lang in list(open_):
+            close(lang)
         yield pd.DataFrame({"lang": pd.Series(list(sums), dtype=object), "sums": pd.Series(list(sums.values()), dtype=object)})
 
     rows = (
@@ -115,11 +136,9 @@ def learn(labelled: DataFrame) -> dict[str, np.ndarray]:
 
 def _exact(codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """As bundle(), in integers: sums over any split of the corpus agree to the last digit."""
-    _, (first, second, third) = _letters()
     total = np.zeros(DIMENSIONS)
     for at in range(0, len(codes), 4096):
-        c = codes[at : at + 4096]
-        total += counts[at : at + 4096].astype(float) @ (first[c >> 12] * second[c >> 6 & 63] * third[c & 63]).astype(float)
+        total += counts[at : at + 4096].astype(float) @ _bound(codes[at : at + 4096]).astype(float)
     return total
 
 

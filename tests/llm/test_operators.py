@@ -327,13 +327,66 @@ def test_language(docs, corpus):
     assert sum(lang[r.doc_id] == r.lang_pred for r in held) / len(held) > 0.98
 
 
-def test_language_brute_force():
+def _profile(text: str | None) -> np.ndarray:
+    """The sum of a text's bound letter trigrams, one at a time, from the letters' vectors alone."""
+    slot, (_, _, vectors) = language_id._letters()
+    places = [0]
+    for x in [*map(ord, text or ""), 32]:
+        if slot[x] or places[-1]:
+            places.append(int(slot[x]))
+    total = np.zeros(language_id.DIMENSIONS)
+    for x, y, z in zip(places, places[1:], places[2:]):
+        total += np.roll(vectors[x], 2).astype(int) * np.roll(vectors[y], 1) * vectors[z]
+    return total
+
+
+def test_language_bundle():
     """Bundling by counts equals adding the vectors one n-gram at a time."""
-    codes = language_id.ngrams("Die Katze, die Katze!")
-    _, (a, b, c) = language_id._letters()
-    one = sum((a[x >> 12].astype(int) * b[x >> 6 & 63] * c[x & 63] for x in codes), np.zeros(language_id.DIMENSIONS, int))
-    u, n = np.unique(codes, return_counts=True)
-    assert (language_id.bundle(u, n) == one).all()
+    for text in ("Die Katze, die Katze!", "\u0416\u0451\u043b\u0442\u0430\u044f \u043a\u043e\u0448\u043a\u0430", "\u6771\u4eac x", "a", " "):
+        codes = language_id.ngrams(text)
+        u, n = np.unique(codes, return_counts=True)
+        assert (language_id.bundle(u, n) == _profile(text)).all() if len(codes) else not _profile(text).any()
+
+
+def test_language_brute_force(spark, monkeypatch):
+    """lang_pred and score by plain sums, however few languages and n-grams a task holds at once."""
+    rng = np.random.default_rng(11)
+    spans = {"la": range(97, 123), "ru": range(0x430, 0x450), "el": range(0x3B1, 0x3CA), "zh": range(0x4E00, 0x4F00), "ko": range(0xAC00, 0xAD00)}
+    weight = {k: rng.dirichlet(np.full(len(v), 0.3)) for k, v in spans.items()}
+    weight["uk"], spans["uk"] = rng.dirichlet(np.full(32, 0.3)), spans["ru"]
+    word = lambda k: "".join(map(chr, rng.choice(list(spans[k]), rng.integers(2, 8), p=weight[k])))
+    rows = [(n, " ".join(word(k) for _ in range(30)), k) for n, k in enumerate(sorted(spans) * 20)]
+    rows += [(900, None, "la"), (901, "12 ..", "ru"), (902, "abc", None), (None, rows[0][1], rows[0][2]), (903, "", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sums: dict = {}
+    for d, t, k in rows:
+        if d is not None and zlib.crc32(str(d).encode()) % 4 != 2 and t is not None and k is not None:
+            sums[k] = sums.get(k, 0) + _profile(t)
+    sums = {k: v / np.linalg.norm(v) for k, v in sorted(sums.items())}
+    want = {}
+    for d, t, _ in rows:
+        v = _profile(t)
+        near = {k: float(p @ v / np.linalg.norm(v)) for k, p in sums.items()} if v.any() else {"und": 0.0}
+        want[d] = max(near.items(), key=lambda x: x[1])
+    for ngrams, languages in ((language_id.OPEN_NGRAMS, language_id.OPEN_LANGUAGES), (300, 2)):
+        monkeypatch.setattr(language_id, "OPEN_NGRAMS", ngrams)
+        monkeypatch.setattr(language_id, "OPEN_LANGUAGES", languages)
+        for k, v in language_id.fit(docs).items():
+            assert np.allclose(v, sums[k], atol=1e-12)
+        got = {r.doc_id: (r.lang_pred, r.score) for r in language_id.language_of_documents(docs).collect()}
+        assert {d: x[0] for d, x in got.items()} == {d: x[0] for d, x in want.items()}
+        assert all(abs(got[d][1] - min(1.0, max(0.0, want[d][1]))) < 1e-6 for d in want)
+    held = [(d, k) for d, t, k in rows if d is not None and d < 900 and zlib.crc32(str(d).encode()) % 4 == 2]
+    right = {d for d, k in held if got[d][0] == k}
+    assert all(d in right for d, k in held if k not in ("zh", "ko"))  # words of random ideographs or syllables repeat few trigrams
+    assert len(right) >= 0.9 * len(held)
+
+
+def test_letters_of_an_alphabet_have_vectors_of_their_own():
+    slot, _ = language_id._letters()
+    for letters in (range(0x430, 0x450), range(0x3B1, 0x3CA), range(0x5D0, 0x5EB), range(0x627, 0x64B), range(0x10D0, 0x10F1), range(0xE01, 0xE2F)):
+        found = [int(slot[x]) for x in letters if chr(x).isalpha()]
+        assert len(set(found)) >= len(found) - 1 and min(found) > 26
 
 
 @pytest.mark.parametrize("which", ["docs", "corpus"])
