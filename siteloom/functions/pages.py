@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
@@ -37,41 +38,59 @@ class Element:
     def __init__(self, tag: str, attrs: dict[str, str], parent: Element | None, source: str = ""):
         self.tag, self.attrs, self.parent, self.source, self.children = tag, attrs, parent, source, []
 
-    def walk(self):
-        for c in self.children:
+    def nodes(self):
+        """Elements and texts below, in document order, however deep."""
+        todo = self.children[::-1]
+        while todo:
+            c = todo.pop()
+            yield c
             if isinstance(c, Element):
-                yield c
-                yield from c.walk()
+                todo += reversed(c.children)
+
+    def walk(self):
+        return (c for c in self.nodes() if isinstance(c, Element))
 
     def text(self) -> str:
-        return "".join(c if isinstance(c, str) else c.text() for c in self.children)
+        return "".join(c for c in self.nodes() if isinstance(c, str))
 
 
 class _Builder(HTMLParser):
+    """Steps are constant on average: a page of deeply nested or unclosed elements costs no more than its length."""
+
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = Element("#document", {}, None)
         self.at = self.root
+        self.open: Counter[str] = Counter()
+        self.near = [{"p": None, "li": None}]  # for each open element, the p and the li that a start tag in it would close
+
+    def _close(self, node: Element) -> None:
+        while self.at is not node.parent:
+            self.open[self.at.tag] -= 1
+            self.near.pop()
+            self.at = self.at.parent
 
     def _end(self, tag: str) -> None:
-        node = self.at
-        while node is not self.root and node.tag != tag:
-            node = node.parent
-        if node is not self.root:
-            self.at = node.parent
+        if self.open[tag]:
+            node = self.at
+            while node.tag != tag:
+                node = node.parent
+            self._close(node)
 
     def handle_starttag(self, tag, attrs):
         if tag in _CLOSES_P or tag == "li":
-            same = "li" if tag == "li" else "p"
-            node = self.at
-            while node is not self.root and node.tag not in (same, "td", "th", "table", "ul", "ol"):
-                node = node.parent
-            if node.tag == same:
-                self.at = node.parent
+            same = self.near[-1]["li" if tag == "li" else "p"]
+            if same is not None:
+                self._close(same)
         node = Element(tag, {k: v or "" for k, v in reversed(attrs)}, self.at, self.get_starttag_text() or "")
         self.at.children.append(node)
         if tag not in VOID:
             self.at = node
+            self.open[tag] += 1
+            if tag in ("td", "th", "table", "ul", "ol"):
+                self.near.append({"p": None, "li": None})
+            else:
+                self.near.append(self.near[-1] | {tag: node} if tag in ("p", "li") else self.near[-1])
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)

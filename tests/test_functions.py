@@ -166,3 +166,21 @@ def test_anchors_of_any_form(spark):
         (0, "https://h.example/a", ""), (1, "https://h.example/b", "one two"), (2, "https://h.example/dir/c?x=1&y=2", "bare"),
         (3, "https://o.example/d", ""), (4, "http://p.example/e", "T < U"),
     ]
+
+
+def test_deep_and_unclosed_markup():
+    """A page's depth is bounded by nothing; steps grow with its length."""
+    n = 40_000
+    deep = html.dom("<p><table>" + "<div class=x>" * n + "<main><h2>t</h2><a href='/q'>w</a>" + "</i>" * n)
+    assert sum(e.tag == "div" for e in deep.walk()) == n and deep.text() == "tw"
+    assert html.main_contents(deep)["wordCount"] == 2 and html.links(deep) == [("/q", "w")]
+    assert html.meta(deep)["title"] == "" and html.keyword_count(deep, html.keyword_pattern("w")) == 1
+
+
+def test_implied_ends():
+    shape = lambda e: f"{e.tag}({','.join(shape(c) if isinstance(c, html.Element) else c for c in e.children)})"
+    assert shape(html.dom("<p>a<p>b<div>c</div>")) == "#document(p(a),p(b),div(c))"
+    assert shape(html.dom("<ul><li>a<li>b<ul><li>c</ul><li>d</ul>")) == "#document(ul(li(a),li(b,ul(li(c))),li(d)))"
+    assert shape(html.dom("<p>a<table><td><p>b<p>c</table>d")) == "#document(p(a),table(td(p(b),p(c))),d)"
+    assert shape(html.dom("<p>a<span>b<li>c</li></b>d")) == "#document(p(a,span(b,li(c),d)))"
+    assert shape(html.dom("<li><p>a<li>b")) == "#document(li(p(a)),li(b))"
