@@ -429,8 +429,26 @@ def _html(s, d):
     return s.read.parquet(f"{d}/pages.parquet").select(F.col("page_id").alias("id"), "url", "html", F.lit(0).alias("isExternal"), F.lit("text/html").alias("contentType"))
 
 
-_raw("html_meta")(lambda s, d: html.parsed(_html(s, d)).select("id", "meta.*"))
-_raw("main_contents")(lambda s, d: html.parsed(_html(s, d), "article").select("id", "main.*"))
+def _unescaped(text: str) -> str:
+    """SQL for text without the character references that the pages hold; a last one may lack its end."""
+    for mark, char in (("&quot;", "chr(34)"), ("&#x27;", "chr(39)"), ("&lt;", "'<'"), ("&gt;", "'>'"), ("&amp;", "'&'")):
+        text = f"regexp_replace({text}, '{mark}?', {char}, 'g')"
+    return text
+
+
+_raw(
+    "html_meta",
+    f"""SELECT page_id AS id, trim({_unescaped("regexp_extract(html, '<title>([^<]*)</title>', 1)")}) AS title, regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang, 'd ' || page_id AS description,
+ CASE WHEN page_id % 2 = 0 THEN 'k,' || page_id ELSE '' END AS keywords, page_id % 3 = 0 AS noindex, page_id % 3 <> 2 AS nofollow, false AS noarchive, 'https://c.example/' || page_id AS canonical,
+ CASE WHEN page_id % 5 = 0 THEN '/a' ELSE '' END AS alternate, 'website' AS og_type, 'T' || page_id AS og_title, '' AS og_site_name, '' AS og_description, '' AS og_url,
+ '/i' || page_id || '.png' AS og_image, 'summary' AS twitter_card FROM pages""",
+)(lambda s, d: html.parsed(_with_meta(_html(s, d))).select("id", "meta.*"))
+_ARTICLE = "regexp_extract(html, '(?s)<article>(.*)</article>', 1)"
+_raw(
+    "main_contents",
+    f"""SELECT page_id AS id, length(regexp_replace({_unescaped(f"regexp_replace({_ARTICLE}, '<[^>]*>', '', 'g')")}, '[\\s\\x0B\\p{{Z}}]', '', 'g'))::BIGINT AS wordCount,
+ len(regexp_extract_all({_ARTICLE}, '<h[1-6]>'))::BIGINT AS headings, 0::BIGINT AS images, 0::BIGINT AS "table", '| r | c | h | f | m |' AS note FROM pages""",
+)(lambda s, d: html.parsed(_html(s, d), "article").select("id", "main.*"))
 _raw(
     "view_images",
     """SELECT page_id AS id, url, pos, CASE WHEN pos = 0 THEN regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || '/i' || page_id || '.png' ELSE 'https://c.example/x.jpg' END AS src, '' AS currentSrc,
@@ -444,8 +462,23 @@ def _with_images(pages: DataFrame) -> DataFrame:
     return pages.withColumn("html", F.concat(first, "html", F.lit("<img loading=lazy src=https://c.example/x.jpg>")))
 
 
+def _with_meta(pages: DataFrame) -> DataFrame:
+    """Pages with tags that follow from their id: quotes of every kind, names in either case, and a second description that counts for nothing."""
+    when = lambda k, r, tag: F.when(F.col("id") % k == r, tag).otherwise("")
+    tags = F.concat(
+        F.lit("<meta name=Description content='d "), "id", F.lit("'><meta name='description' content='second'>"), when(2, 0, F.concat(F.lit('<META content="k,'), "id", F.lit('" NAME="keywords">'))),
+        when(3, 0, F.lit("<meta name='robots' content='NoIndex , nofollow'>")), when(3, 1, F.lit("<meta name='robots' content='nofollow'>")), F.lit('<link rel="canonical" href="https://c.example/'), "id", F.lit('">'),
+        when(5, 0, F.lit("<link href=/a rel=alternate>")), F.lit("<meta property='og:type' content='website'><meta property='og:title' content='T"), "id", F.lit("'/><meta property='og:image' content='/i"), "id",
+        F.lit(".png'><meta name='twitter:card' content=summary>"),
+    )
+    return pages.withColumn("html", F.concat(F.substring_index("html", "<head>", 1), F.lit("<head>"), tags, F.expr("substring(html, instr(html, '<head>') + 6)")))
+
+
 _SEARCH = {"keywords": ["/(the) (and)/i"], "selectors": ["article h1", "main", "div.ad", "nav > ul > li a[href]", "a:::"]}
-_raw("search_keywords")(lambda s, d: analyzers.merged(analyzers.analyze(_html(s, d), [analyzers.search(_SEARCH)])).filter("col LIKE 'keyword%'").select("url", "col", "value"))
+_raw(
+    "search_keywords",
+    """SELECT url, 'keyword:/(the) (and)/i' AS col, (3 * len(list_filter(string_split_regex(regexp_replace(html, '(?s)<script>.*?</script>|<style>.*?</style>', '', 'g'), '<[^>]*>'), lambda x: regexp_matches(x, '(?i)the and'))))::VARCHAR AS value FROM pages""",
+)(lambda s, d: analyzers.merged(analyzers.analyze(_html(s, d), [analyzers.search(_SEARCH)])).filter("col LIKE 'keyword%'").select("url", "col", "value"))
 _raw(
     "search_selectors",
     """SELECT DISTINCT url, col, 'true' AS value FROM pages, (VALUES ('selector:article h1', '<article><h1>'), ('selector:div.ad', '<div class="ad">'), ('selector:nav > ul > li a[href]', '<li><a href')) t(col, mark) WHERE contains(html, mark)""",
