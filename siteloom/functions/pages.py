@@ -26,8 +26,9 @@ _CLOSES_P = frozenset("address article aside blockquote div dl fieldset figure f
 
 
 def title(html: Column) -> Column:
-    """The first title element's trimmed content, from the beginning of the page alone."""
-    return F.trim(F.regexp_extract(F.substring(html, 1, TITLE_BYTES), r"(?is)<title[^>]*>(.*?)</title>", 1))
+    """The first title element's trimmed content, from the page's first TITLE_BYTES bytes of UTF-8 alone."""
+    beginning = F.substring(html.cast("binary"), 1, TITLE_BYTES).cast("string")
+    return F.trim(F.regexp_extract(beginning, r"(?is)<title[^>]*>(.*?)</title>", 1))
 
 
 def lang(html: Column) -> Column:

@@ -68,6 +68,16 @@ def resource_referrers(links: DataFrame, resources: DataFrame) -> DataFrame:
     return links.join(resources.select(F.col("id").alias("resourceId")), "resourceId", "left_semi").select("resourceId", "pageId").distinct()
 
 
+def referrers_with_pages(records: DataFrame, resources: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """records (src, pageUrl) as pages (id, url), known and new ones, and distinct pairs (resourceId, pageId).
+
+    Records of unknown resources count for nothing; a page that is not known gets a row.
+    """
+    found = records.join(resources.select(F.col("id").alias("resourceId"), F.col("url").alias("src")), "src").select("resourceId", F.col("pageUrl").alias("url")).distinct()
+    pages = ids_for_urls(known, found)
+    return pages, found.join(pages, "url").select("resourceId", F.col("id").alias("pageId"))
+
+
 def url_order(pages: DataFrame, key) -> DataFrame:
     """Internal pages numbered in natural order, others null. key: the sort key column, one range of it at a time.
 

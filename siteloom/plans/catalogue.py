@@ -394,6 +394,23 @@ _raw(
 _add("resource_referrers_unique", "SELECT DISTINCT l_partkey AS resourceId, l_orderkey AS pageId FROM lineitem JOIN res ON res.id = l_partkey WHERE res.isExternal = 1")(
     lambda a, s, d: writes.resource_referrers(_lines(s, d).select(F.col("l_partkey").alias("resourceId"), F.col("l_orderkey").alias("pageId")), a["resources"].filter("isExternal = 1"))
 )
+_raw(
+    "resource_referrers_new_pages",
+    """SELECT DISTINCT 'r/' || l_partkey AS resource, 'p/' || l_orderkey AS page, l_orderkey % 3 <> 0 AS known FROM lineitem WHERE l_partkey % 4 <> 0""",
+)(lambda s, d: _new_referrers(s, d))
+
+
+def _new_referrers(s, d):
+    """Every fourth resource and every third page are unknown."""
+    rows = _lines(s, d)
+    resources = rows.filter("l_partkey % 4 <> 0").select(F.col("l_partkey").alias("id"), F.concat(F.lit("r/"), "l_partkey").alias("url")).distinct()
+    known = rows.filter("l_orderkey % 3 <> 0").select(F.col("l_orderkey").alias("id"), F.concat(F.lit("p/"), "l_orderkey").alias("url")).distinct()
+    pages, pairs = writes.referrers_with_pages(rows.select(F.concat(F.lit("r/"), "l_partkey").alias("src"), F.concat(F.lit("p/"), "l_orderkey").alias("pageUrl")), resources, known)
+    top = known.agg(F.max("id").alias("top"))
+    named = pairs.join(pages, F.col("pageId") == F.col("id")).select("resourceId", "url", "id").join(F.broadcast(top))  # top is one row
+    return named.select(F.concat(F.lit("r/"), "resourceId").alias("resource"), F.col("url").alias("page"), (F.col("id") <= F.col("top")).alias("known"))
+
+
 _raw(
     "page_upsert_latest",
     """SELECT 'u/' || o_custkey AS url, max(o_orderkey) AS seq, arg_max(o_orderstatus, o_orderkey) AS status, arg_max(CASE WHEN o_orderkey % 3 = 0 THEN o_orderpriority END, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey END) AS skipReason

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -131,3 +133,13 @@ def write_diff(a: DataFrame, b: DataFrame, path: str) -> None:
     for side in ("a", "b"):
         own = sides.filter(F.col("side").isin(side, "both")).orderBy(urls.natural_key(F.col("url")), "url")
         own.select(F.col("url").alias("value")).write.mode("overwrite").text(f"{path}/{side}")
+
+
+def output_path(given: str, extension: str, cwd: str | None = None) -> str:
+    """The absolute path that a command writes to, with the extension; its folder must exist."""
+    path = Path(cwd or Path.cwd(), given)
+    if not path.name.endswith(f".{extension}"):
+        path = path.with_name(f"{path.name}.{extension}")
+    if not path.parent.is_dir():
+        raise FileNotFoundError(str(path.parent))
+    return str(path)

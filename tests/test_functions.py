@@ -184,3 +184,18 @@ def test_implied_ends():
     assert shape(html.dom("<p>a<table><td><p>b<p>c</table>d")) == "#document(p(a),table(td(p(b),p(c))),d)"
     assert shape(html.dom("<p>a<span>b<li>c</li></b>d")) == "#document(p(a,span(b,li(c),d)))"
     assert shape(html.dom("<li><p>a<li>b")) == "#document(li(p(a)),li(b))"
+
+
+def test_title_reads_bytes(spark):
+    rows = [(1, "é" * 8000 + "<title> a </title>"), (2, "é" * 8192 + "<title>b</title>"), (3, "e" * 16000 + "<title>c</title>"), (4, None)]
+    got = {r.k: r.t for r in spark.createDataFrame(rows, "k int, h string").select("k", html.title(F.col("h")).alias("t")).collect()}
+    assert got == {1: "a", 2: "", 3: "c", 4: None}
+
+
+def test_output_path(tmp_path):
+    from siteloom.plans.commands import output_path
+
+    assert output_path("a", "zip", str(tmp_path)) == f"{tmp_path}/a.zip"
+    assert output_path(f"{tmp_path}/b.zip", "zip", "/") == f"{tmp_path}/b.zip"
+    with pytest.raises(FileNotFoundError):
+        output_path("none/a", "zip", str(tmp_path))
