@@ -69,9 +69,10 @@ def targets(sizes: DataFrame) -> DataFrame:
     filled = running(weighed, order, {"place": F.lit(1).cast("long"), "full": F.col("source_size"), "used": F.col("weight")})
     filled = stored(filled.withColumns({"left": F.lit(size) - MOST * F.col("full"), "weights": F.lit(weights) - F.col("used")}), "filled")
     # the first source that does not stop sets the level for itself and all after it
-    free = filled.filter(F.col("left") * F.col("weight") <= MOST * F.col("source_size") * F.col("weights"))
+    # (products as doubles: those of whole numbers overflow, of an int literal already from 2^31 on)
+    free = filled.filter(F.col("left").cast("double") * F.col("weight") <= F.col("source_size").cast("double") * MOST * F.col("weights"))
     place, left, over = free.agg(F.min(F.struct("place", "left", "weights"))).first()[0] or (weights + 1, 0, 1)
-    level = F.lit(left) * F.col("weight") / F.lit(over)
+    level = F.lit(float(left)) * F.col("weight") / F.lit(over)
     return filled.select("s", "source", "source_size", F.when(F.col("place") >= place, level).otherwise(MOST * F.col("source_size")).cast("double").alias("target"))
 
 

@@ -513,6 +513,20 @@ def test_mixing(which, request):
     assert sorted(map(str, again)) == sorted(map(str, rows))
 
 
+@pytest.mark.parametrize("sizes", [[8 * 10**7] * 20, [10**9, 6 * 10**8, 5, 4 * 10**8], [10**13, 5, 2 * 10**13], [2 * 10**17] * 14])
+def test_targets_of_large_sources(spark, sizes):
+    """Products of sizes and weights leave the range of an int, and of a long: from about 3 GB of documents on, the first."""
+    got = {r.s: r.target for r in mixing.targets(spark.createDataFrame([(f"s{k:02}", n) for k, n in enumerate(sizes)], "source string, size long")).collect()}
+    full: set = set()
+    while True:
+        rest, w = sum(sizes) - sum(3 * sizes[k] for k in full), sum(k % 3 + 1 for k in range(len(sizes)) if k not in full)
+        over = {k for k in range(len(sizes)) if k not in full and rest * (k % 3 + 1) > 3 * sizes[k] * w}
+        if not over:
+            break
+        full |= over
+    assert got == {k: pytest.approx(3 * n if k in full else rest * (k % 3 + 1) / w, rel=1e-12) for k, n in enumerate(sizes)}
+
+
 @pytest.mark.parametrize("which", ["docs", "corpus"])
 def test_mix_as_written(which, request):
     """Slots of at most BLOCK words, all places of a shard drawn, and what documents give adds up to `taken`."""
