@@ -54,12 +54,24 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
 
 
+def _collect_garbage(spark: SparkSession) -> None:
+    """Lets the driver's JVM collect its garbage once its heap has grown over half of what it may have.
+
+    Plans, events and broadcasts of steps that are over are garbage, but the JVM takes more memory before it looks for old
+    garbage, and a broadcast stays on driver and executors until it does. A collection gives back what the heap does not need.
+    """
+    runtime = spark.sparkContext._jvm.java.lang.Runtime.getRuntime()
+    if runtime.totalMemory() > runtime.maxMemory() // 2:
+        spark.sparkContext._jvm.java.lang.System.gc()
+
+
 def stored(df: DataFrame, tag: str) -> DataFrame:
     """df written to the shared scratch folder and read again: lineage ends here, and lost executors cost nothing."""
     spark = df.sparkSession
     path = f"{scratch(spark)}/{tag}-{uuid.uuid4().hex}"
     small_batches(spark)
     df.write.parquet(path)
+    _collect_garbage(spark)
     again = spark.read.schema(df.schema).parquet(path)
     again.scratch_path = path
     return again

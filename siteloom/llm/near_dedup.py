@@ -223,11 +223,12 @@ def _in_parts(buckets: DataFrame) -> DataFrame:
     return buckets.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("size") / BLOCK) - 1))).drop("size")
 
 
-def _meetings(member: DataFrame, label: DataFrame, about: DataFrame) -> DataFrame:
+def _meetings(member: DataFrame, label: DataFrame, about: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows (bucket, block, visit, side, k, comp, guest, band, mask, ...about) of the buckets with several components, sorted for _met.
 
     A bucket's members are dealt out in blocks. Those outside its main component are guests; they are dealt out as well, in
-    visits of about BLOCK, and go to every block, which appears once for each visit.
+    visits of about BLOCK, and go to every block, which appears once for each visit. Members with their bucket's main component
+    are written once, as three parts of the plan read them, and returned second, to be released.
     """
     inside = stored(member.join(label, F.col("k") == F.col("id")).join(about.select("k"), "k").select("bucket", "size", "band", "mask", "k", "comp"), "inside")
     by_comp = inside.groupBy("bucket", "size", "comp").agg(F.count("*").alias("c"))
@@ -235,7 +236,8 @@ def _meetings(member: DataFrame, label: DataFrame, about: DataFrame) -> DataFram
         by_comp.groupBy("bucket", "size").agg(F.count("*").alias("comps"), F.sum("c").alias("members"), F.max("c").alias("own"), F.max_by("comp", F.struct("c", "comp")).alias("main"))
         .filter("comps > 1").select("bucket", "size", "main", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"), F.ceil((F.col("members") - F.col("own")) / BLOCK).cast("int").alias("visits"))
     )
-    mixed = inside.withColumn("part", _part()).join(_in_parts(main), ["bucket", "part"]).withColumn("guest", F.col("comp") != F.col("main"))
+    mixed = stored(inside.withColumn("part", _part()).join(_in_parts(main), ["bucket", "part"]).withColumn("guest", F.col("comp") != F.col("main")), "mixed")
+    release(inside)
     keep = ["bucket", "block", "visit", "side", "band", "mask", "k", "comp", "guest"]
     guests = mixed.filter("guest").withColumn("visit", F.pmod(F.xxhash64("k", F.lit(1)), F.col("visits")).cast("int"))
     seats = guests.select("bucket", "visit", "blocks").distinct().select("bucket", "visit", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
@@ -243,7 +245,7 @@ def _meetings(member: DataFrame, label: DataFrame, about: DataFrame) -> DataFram
     rows = home.join(seats, ["bucket", "block"]).select(keep).union(
         guests.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("side", F.lit(1)).select(keep)
     )
-    return rows.join(about, "k").repartition("bucket", "block", "visit").sortWithinPartitions("bucket", "block", "visit", "side")
+    return rows.join(about, "k").repartition("bucket", "block", "visit").sortWithinPartitions("bucket", "block", "visit", "side"), mixed
 
 
 def _sets(width):
@@ -299,15 +301,19 @@ def _grouped(docs: DataFrame, width: int) -> DataFrame:
     label = merged(label, _links(first.select("hub", "spoke"), sets))
     release(sets)
 
-    open_ = stored(_meetings(weighed, label, about).mapInPandas(_screened, "k long").distinct(), "open")
+    met, mixed = _meetings(weighed, label, about)
+    open_ = stored(met.mapInPandas(_screened, "k long").distinct(), "open")
+    release(mixed)
     if not open_.isEmpty():
         sets = sets_of(open_)
         fine = sets.mapInPandas(_fine, "k long, fine array<bigint>").groupBy("k").agg(F.first("fine").alias("fine"))
         about = stored(about.join(fine, "k"), "about")
         tested = first.select(F.least("hub", "spoke").alias("a"), F.greatest("hub", "spoke").alias("b"))
         for best_only in (True, False):
-            met = _meetings(weighed, label, about).mapInPandas(_candidates(best_only), "a long, b long")
+            met, mixed = _meetings(weighed, label, about)
+            met = met.mapInPandas(_candidates(best_only), "a long, b long")
             pairs = stored(met.distinct().join(tested, ["a", "b"], "left_anti"), "candidates")
+            release(mixed)
             if pairs.isEmpty():
                 continue
             links = _links(pairs.select(F.col("a").alias("hub"), F.col("b").alias("spoke")), sets)

@@ -667,6 +667,19 @@ def test_near_duplicates_without_an_original(spark, monkeypatch):
     assert pairs and len(pairs) == len(set(pairs)) and all(a < b for a, b in pairs)
 
 
+def test_meetings_read_members_with_main_component_once(spark, corpus, monkeypatch):
+    """The driver holds a plan of each round's meetings, which grows with what the plan repeats."""
+    plans, keep = {}, near_dedup.stored
+
+    def stored(df, tag):
+        plans[tag] = df._jdf.queryExecution().executedPlan().toString()
+        return keep(df, tag)
+
+    monkeypatch.setattr(near_dedup, "stored", stored)
+    near_dedup.near_duplicates(corpus).count()
+    assert plans["open"].count("Exchange") <= 12
+
+
 def test_pairs_meet_in_their_first_bucket_only():
     """Four classes of three components in two buckets with the same members: each pair of different components once."""
     bands = np.zeros(near_dedup.BANDS, np.int64)

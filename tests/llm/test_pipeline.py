@@ -6,6 +6,8 @@ import corpus_pipeline
 import numpy as np
 import test_operators as brute
 
+from siteloom.llm.common import stored
+
 
 def test_stages(spark, sf, tmp_path):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
@@ -58,3 +60,20 @@ def test_language_stage_drops_unlearned_scripts(spark, sf):
     assert sum(k < 10**6 for k in kept) == len(texts)
     assert sum(10**6 <= k < 2 * 10**6 for k in kept) == 0
     assert sum(k >= 2 * 10**6 for k in kept) >= 0.98 * len(short)
+
+
+def test_driver_collects_garbage_between_steps(spark):
+    """A step that ends with a large heap lets go of what steps before it left, old objects included."""
+    jvm = spark.sparkContext._jvm
+    runtime, gateway = jvm.java.lang.Runtime.getRuntime(), spark.sparkContext._gateway
+    left = jvm.java.util.ArrayList()
+    jvm.java.lang.System.gc()
+    jvm.java.lang.System.gc()  # no longer young, so no small collection takes it
+    weak = jvm.java.lang.ref.WeakReference(left)
+    held = []
+    while runtime.totalMemory() <= 0.6 * runtime.maxMemory():
+        held.append(gateway.new_array(gateway.jvm.int, 4 << 20))
+    gateway.detach(left)
+    assert not weak.refersTo(None)
+    stored(spark.range(10), "step")
+    assert weak.refersTo(None)
